@@ -1,0 +1,66 @@
+"""256-bit hashes written as 64 hex digits: words, distances, block keys and pivot distances."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# 13 blocks for a radius of 12: twelve of 5 hex digits and one of 4, (first digit, length).
+BLOCKS = [(1 + 5 * i, 5) for i in range(12)] + [(61, 4)]
+
+
+def words(h: Column) -> Column:
+    """The hash as a struct of eight 32-bit words held in longs."""
+    return F.struct(
+        *[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long").alias(f"w{i}") for i in range(8)]
+    )
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Hamming distance of two word structs."""
+    total = F.lit(0)
+    for i in range(8):
+        total = total + F.bit_count(a[f"w{i}"].bitwiseXOR(b[f"w{i}"]))
+    return total
+
+
+def block_keys(h: Column) -> Column:
+    """13 longs, one a block, unique by block number and content.
+
+    Two hashes at most 12 bits apart leave at least one of 13 blocks untouched,
+    so they share a key (pigeonhole).
+    """
+    return F.array(
+        *[
+            F.conv(F.substring(h, start, n), 16, 10).cast("long") + F.lit(i << 24)
+            for i, (start, n) in enumerate(BLOCKS)
+        ]
+    )
+
+
+def pivot_distances(w: Column) -> Column:
+    """Distances to 16 fixed pivots in one long, four bits each.
+
+    Pivot i lives in the sub-space of bits 16i .. 16i+15 and is its zero vector,
+    so the distance is the number of bits set there (16 is written as 15).
+    """
+    packed = F.lit(0).cast("long")
+    for i in range(8):
+        for half, shift in ((F.shiftrightunsigned(w[f"w{i}"], 16), 8 * i), (w[f"w{i}"].bitwiseAND(65535), 8 * i + 4)):
+            d = F.least(F.lit(15), F.bit_count(half)).cast("long")
+            packed = packed.bitwiseOR(F.shiftleft(d, shift))
+    return packed
+
+
+def pivot_bound(a: Column, b: Column) -> Column:
+    """Lower bound of the Hamming distance from two packed pivot rows.
+
+    |d(a,p) - d(b,p)| <= d(a,b) holds in each sub-space (triangle inequality),
+    and the sub-spaces are disjoint, so the differences add up.
+    """
+    total = F.lit(0).cast("long")
+    for i in range(16):
+        x = F.shiftrightunsigned(a, 4 * i).bitwiseAND(15)
+        y = F.shiftrightunsigned(b, 4 * i).bitwiseAND(15)
+        total = total + F.abs(x - y)
+    return total
