@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulate.llm import crosssplit, groupsplit, history
+from granulate.llm import crosssplit, groupsplit, history, truncation
 from granulate.session import read
 
 
+def p1_found(spark, d):
+    return truncation.found(read(spark, d, "images"), read(spark, d, "sources"))
+
+
+def p1_shares(spark, d):
+    return truncation.shares(read(spark, d, "images"), read(spark, d, "sources"))
+
+
 def p2_found(spark, d):
     return crosssplit.found(read(spark, d, "images"), read(spark, d, "figure_triage"))
 
@@ -33,5 +41,5 @@ def p6_found(spark, d):
     return history.found(read(spark, d, "images"), read(spark, d, "image_batches"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_assign, p3_shares, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p6_found)}
 ORACLES: dict[str, str] = {}
