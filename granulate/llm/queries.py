@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulate.llm import crosssplit, groupsplit, history, truncation
+from granulate.llm import canonical, crosssplit, groupsplit, history, truncation
 from granulate.session import read
 
 
@@ -37,9 +37,17 @@ def p3_shares(spark, d):
     return rows.groupBy("new_split").agg(F.count("*").alias("n_rows"), F.countDistinct("group").alias("groups"))
 
 
+def p4_found(spark, d):
+    return canonical.found(read(spark, d, "sources"), read(spark, d, "licence_terms"))
+
+
+def p4_unmatched(spark, d):
+    return canonical.unmatched(read(spark, d, "sources"), read(spark, d, "licence_terms"))
+
+
 def p6_found(spark, d):
     return history.found(read(spark, d, "images"), read(spark, d, "image_batches"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found)}
 ORACLES: dict[str, str] = {}
