@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from granulate.plans import fields
+
 FLAGSHIP = "validation_agreement"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+MODULES = [fields]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
