@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulate.llm import canonical, crosssplit, groupsplit, history, truncation
+from granulate.llm import canonical, crosssplit, groupsplit, history, leakage, truncation
 from granulate.session import read
 
 
@@ -49,5 +49,13 @@ def p6_found(spark, d):
     return history.found(read(spark, d, "images"), read(spark, d, "image_batches"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found)}
+def p7_found(spark, d):
+    return leakage.found(read(spark, d, "documents"), read(spark, d, "heldout_items"))
+
+
+def p7_items(spark, d):
+    return leakage.leaked_items(read(spark, d, "documents"), read(spark, d, "heldout_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found, p7_found, p7_items)}
 ORACLES: dict[str, str] = {}
