@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulate.llm import canonical, crosssplit, groupsplit, history, leakage, truncation
+from granulate.llm import canonical, crosssplit, groupsplit, history, leakage, mixture, quality, truncation
 from granulate.session import read
 
 
@@ -57,5 +57,25 @@ def p7_items(spark, d):
     return leakage.leaked_items(read(spark, d, "documents"), read(spark, d, "heldout_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found, p7_found, p7_items)}
+def p8_mix(spark, d):
+    return mixture.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p8_shares(spark, d):
+    return mixture.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p9_found(spark, d):
+    return quality.found(read(spark, d, "documents"))
+
+
+def p9_scores(spark, d):
+    return quality.scored(read(spark, d, "documents"))
+
+
+def p9_summary(spark, d):
+    return quality.summary(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_scores, p9_summary)}
 ORACLES: dict[str, str] = {}
