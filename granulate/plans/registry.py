@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granulate.plans import fields
+from granulate.plans import fields, measurement
 
 FLAGSHIP = "validation_agreement"
-MODULES = [fields]
+MODULES = [fields, measurement]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
