@@ -50,7 +50,7 @@ def index_under(df: DataFrame, names: list[str], order: list) -> DataFrame:
 
 def lookup(df: DataFrame, table: DataFrame, first: str, second: str, key_first: str, key_second: str, order: list) -> DataFrame:
     """Left join on the first key, else on the second; found is `first`, `second` or NULL, row the struct found."""
-    pick = lambda k: last_by(table.where(filled(F.col(k)).isNotNull()).select(F.col(k).alias("k_"), F.struct("*").alias("row"), *order), ["k_"], order).select("k_", "row")
+    pick = lambda k: last_by(table.where(filled(F.col(k)).isNotNull()).select(F.col(k).alias("k_"), F.struct("*").alias("row"), F.struct(*order).alias("o_")), ["k_"], [F.col("o_")]).select("k_", "row")
     a, b = pick(key_first).select(F.col("k_").alias(first), F.col("row").alias("ra")), pick(key_second).select(F.col("k_").alias(second), F.col("row").alias("rb"))
     j = df.join(a, first, "left").join(b, second, "left")
     return j.select(*df.columns, F.coalesce("ra", "rb").alias("row"), F.when(F.col("ra").isNotNull(), "first").when(F.col("rb").isNotNull(), "second").alias("found"))

@@ -178,7 +178,7 @@ def image_warnings(spark, d):
 def scale_candidate_dedupe(spark, d):
     v = det(spark, d).select("image_id", "seq", F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"), F.col("radius_px").cast("int").alias("w"), (F.col("radius_px") / 8).cast("int").alias("h"))
     v = v.withColumn("confidence", g.scale_bar_confidence(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(512), F.lit(512)))
-    return pairing.scale_candidates(v, IMG).select("image_id", "rank", "x", "y", "w", "h", "confidence")
+    return pairing.scale_candidates(v, IMG).select("image_id", "rank", "x", "y", "w", "h")
 
 
 def ignored_regions(spark, d):
@@ -318,7 +318,7 @@ ORACLES = {
         UNION ALL SELECT t.image_id, t.k + 1, CASE WHEN len([1 FOR q IN t.kept IF greatest(0, least(d.x + d.w, q.x + q.w) - greatest(d.x, q.x)) * greatest(0, least(d.y + greatest(1, d.h), q.y + greatest(1, q.h)) - greatest(d.y, q.y)) / greatest(1, d.w * greatest(1, d.h)) > 0.5]) > 0 THEN t.kept
           ELSE list_append(t.kept, {{'k': d.rank, 'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h}}) END FROM step t JOIN r d ON d.image_id = t.image_id AND d.rank = t.k + 1),
       f AS (SELECT image_id, unnest(kept).k AS rank FROM (SELECT s.image_id, s.kept FROM step s JOIN n ON s.image_id = n.image_id AND s.k = n.last))
-      SELECT f.image_id, f.rank, x, y, w, h, confidence FROM f JOIN r ON f.image_id = r.image_id AND f.rank = r.rank""",
+      SELECT f.image_id, f.rank, x, y, w, h FROM f JOIN r ON f.image_id = r.image_id AND f.rank = r.rank""",
     "ignored_regions": f"""WITH {DET}, b AS (SELECT image_id, seq, class, CAST(trunc(cx - radius_px) AS INT) AS x, CAST(trunc(cy - radius_px) AS INT) AS y, CAST(radius_px * 2 AS INT) AS w FROM det)
       SELECT p.image_id, p.seq FROM b p WHERE p.class = 'outer' AND NOT EXISTS (SELECT 1 FROM b q WHERE q.image_id = p.image_id AND q.class = 'inner'
         AND greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x)) * greatest(0, least(p.y + p.w, q.y + q.w) - greatest(p.y, q.y)) / greatest(1, p.w * p.w) > 0.2)""",
