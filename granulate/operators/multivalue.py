@@ -29,7 +29,7 @@ INNER = 1e-3
 SHAPES = 4096  # shapes kept on the driver, the most frequent ones
 
 HARD = "\n\r\t;|·•"
-SOFT = re.compile(r"\s*,\s*(?:and|&)\s+|\s*,\s*|\s+(?:and|&)\s+|\s*/\s*|\s*&\s*")
+SOFT = re.compile(r"(?<!\s)(?:\s*,\s*(?:and|&)\s+|\s*,\s*|\s+(?:and|&)\s+|\s*/\s*|\s*&\s*)")
 CLOSER = {'"': '"', "“": "”", "«": "»"}
 
 
@@ -68,8 +68,11 @@ def pieces(text: str) -> list[tuple[str, bool]]:
             if out and out[-1][1]:
                 out.append(("", False))  # a hard separator after a quoted span: what follows starts anew
             continue
+        if ch not in CLOSER:
+            i += 1
+            continue
         before = t[start:i].rstrip()
-        if ch in CLOSER and (not before or before[-1] in ",/&" or before.endswith(" and")):
+        if (not before or before[-1] in ",/&" or before.endswith(" and")):
             j, inner = i + 1, []
             while j < len(t):
                 if t[j] == "\\" and t[j + 1 : j + 2] in (CLOSER[ch], "\\"):
@@ -84,8 +87,8 @@ def pieces(text: str) -> list[tuple[str, bool]]:
                 else:
                     inner.append(t[j])
                     j += 1
-            after = t[j + 1 :].lstrip(" ")[:1]
-            if j < len(t) and (not after or after in HARD + ",/&" or t[j + 1 :].lstrip().startswith("and ")):
+            tail = t[j + 1 : j + 200].lstrip(" ")
+            if j < len(t) and (not tail or tail[0] in HARD + ",/&" or tail.startswith("and ")):
                 plain(start, i - (len(t[start:i]) - len(before)) if before else i)
                 if out and not out[-1][1]:
                     out[-1] = (re.sub(r"(?:[,/&]|\s+and)\s*$", "", out[-1][0]).strip(), False)
