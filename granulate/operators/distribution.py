@@ -18,14 +18,14 @@ def distribution(df: DataFrame, by: list[str], value: str, digits: int = 6) -> D
     """n, mean, std (population), skewness, excess kurtosis and a hint per group; values at or below 0 do not count."""
     v = positive(F.col(value).cast("double"))
     g = df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("s"), F.kurtosis(v).alias("k")
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.skewness(v).alias("skew_"), F.kurtosis(v).alias("kurt_")
     )
     known = (F.col("n") >= LEAST) & (F.col("std") > 1e-9)
     return g.select(
         *by, "n", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
-        F.round(F.when(known, F.col("s")), digits).alias("skewness"), F.round(F.when(known, F.col("k")), digits).alias("kurtosis_excess"),
+        F.round(F.when(known, F.col("skew_")), digits).alias("skewness"), F.round(F.when(known, F.col("kurt_")), digits).alias("kurtosis_excess"),
         F.when(F.col("n") == 0, "no data").when(~known, "insufficient_n")
-        .when((F.abs("s") < SKEW) & (F.abs("k") < KURTOSIS), "roughly_normal").otherwise("check_distribution").alias("hint"),
+        .when((F.abs("skew_") < SKEW) & (F.abs("kurt_") < KURTOSIS), "roughly_normal").otherwise("check_distribution").alias("hint"),
     )
 
 

@@ -25,7 +25,7 @@ ROUNDS = 2
 JOINED = 4  # possible separators inside one value at most; longer values need quotes or a hard separator
 WORD = 1e-3  # probability of a word of a value that was not seen
 FLOOR = 1e-5  # probability of a shape that was not seen, times INNER for each separator inside it
-INNER = 1e-3
+INNER = 1e-6
 SHAPES = 4096  # shapes kept on the driver, the most frequent ones
 
 HARD = "\n\r\t;|·•"
@@ -183,14 +183,18 @@ def _viterbi(shapes: dict[str, dict[str, float]], totals: dict[str, float]):
     return best
 
 
+def _settled(piece: str, atomic: bool) -> dict:
+    """A piece without inner separators is a value, less the ones around it."""
+    parts = [piece] if atomic else units(piece)[0]
+    return {"piece": parts[0] if len(parts) == 1 else piece, "atomic": len(parts) == 1}
+
+
 def _parsed(texts: DataFrame) -> DataFrame:
     """text with its pieces: array<struct<piece, atomic>>."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(
-                pieces=[[{"piece": p, "atomic": q or len(units(p)[0]) < 2} for p, q in pieces(t)] for t in pdf["text"]]
-            )
+            yield pdf.assign(pieces=[[_settled(p, q) for p, q in pieces(t)] for t in pdf["text"]])
 
     return texts.mapInPandas(parse, "field_name string, text string, n long, pieces array<struct<piece:string,atomic:boolean>>")
 
@@ -207,8 +211,12 @@ def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUND
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x"),
     ).select(key, "x.*").where(F.regexp_replace("text", TRIM, "") != "")
     parsed = cut(_parsed(long.groupBy("field_name", "text").agg(F.count("*").alias("n"))))
-    exploded = parsed.select("field_name", "n", F.explode("pieces").alias("p")).select("field_name", "n", "p.piece", "p.atomic")
-    atoms = exploded.where("atomic").groupBy("field_name", F.col("piece").alias("value")).agg(F.sum("n").alias("c"))
+    exploded = parsed.select("field_name", "n", F.explode("pieces").alias("p"), (F.size("pieces") > 1).alias("beside")).select("field_name", "n", "p.piece", "p.atomic", "beside")
+    atoms = exploded.where("atomic").groupBy("field_name", F.col("piece").alias("value")).agg(F.sum("n").cast("double").alias("c"))
+    # To start with, what stands beside hard separators is half believed to have the shape of one value.
+    start = exploded.where("atomic or beside").groupBy("field_name", F.col("piece").alias("value")).agg(
+        F.sum(F.when(F.col("atomic"), F.col("n").cast("double")).otherwise(F.col("n") / 2)).alias("c")
+    )
     open_ = exploded.where("not atomic").groupBy("field_name", "piece").agg(F.sum("n").alias("n"))
     arcs = cut(open_.select("field_name", "piece").mapInPandas(
         _lattice, "field_name string, piece string, i int, j int, value string, shape string, words int"
@@ -216,7 +224,7 @@ def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUND
     counts, chosen = atoms, None
     to_shape = F.pandas_udf(lambda s: s.map(shape), "string")
     for _ in range(max(1, rounds)):
-        seen = counts.groupBy("field_name", to_shape("value").alias("shape")).agg(F.sum("c").alias("c"))
+        seen = (counts if chosen is not None else start).groupBy("field_name", to_shape("value").alias("shape")).agg(F.sum("c").alias("c"))
         top = seen.orderBy(F.desc("c"), "shape").limit(SHAPES).collect()
         shapes: dict[str, dict[str, float]] = {}
         for r in top:
@@ -231,7 +239,7 @@ def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUND
         )
         chosen = cut(chosen)
         counts = (
-            chosen.join(open_, ["field_name", "piece"]).select("field_name", F.explode("values").alias("value"), F.col("n").alias("c"))
+            chosen.join(open_, ["field_name", "piece"]).select("field_name", F.explode("values").alias("value"), F.col("n").cast("double").alias("c"))
             .unionByName(atoms).groupBy("field_name", "value").agg(F.sum("c").alias("c"))
         )
     items = (
