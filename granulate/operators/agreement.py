@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granulate.functions.geometry import finite
 from granulate.functions.text import filled
+from granulate.session import cut
 
 # Release-gate limits in percent, and statuses that exclude a row.
 LIMITS = {"diameter": (10.0, 5.0), "core": (15.0, 7.5), "outer": (10.0, 5.0), "shell": (20.0, 10.0)}
@@ -66,33 +67,40 @@ def unmatched(long: DataFrame) -> DataFrame:
     return classified(long).where("reason != 'matched'")
 
 
-def metric_columns() -> list[Column]:
-    """All metrics of one group of classified rows in a single aggregate; undefined ones are NULL."""
+def pair_columns(rows: DataFrame) -> DataFrame:
+    """Classified rows with r and m, the values of matched pairs, and d, e, q: difference, its size, relative error."""
     hit = F.col("reason") == "matched"
-    r, m = F.when(hit, F.col("ref")), F.when(hit, F.col("mea"))
-    d = m - r
-    n = F.count_if(hit)
-    two = lambda c: F.when(n >= 2, c)
-    rmean = F.avg(r)
-    scatter = F.var_pop(r) * n
+    return rows.withColumns({"r": F.when(hit, F.col("ref")), "m": F.when(hit, F.col("mea"))}).withColumns(
+        {"d": F.col("m") - F.col("r"), "e": F.abs(F.col("m") - F.col("r")), "q": F.try_divide(F.abs(F.col("m") - F.col("r")), F.nullif("r", F.lit(0.0)))}
+    )
+
+
+def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """All metrics of each group in one aggregate over plain columns; undefined ones are NULL. rows: see pair_columns."""
+    base = rows.groupBy(*by).agg(
+        F.count("r").alias("n_"), F.avg("r").alias("rm"), F.avg("m").alias("mm"), F.avg("e").alias("ae"), F.avg(F.col("d") * F.col("d")).alias("sq"),
+        F.avg("d").alias("bd"), F.min("r").alias("r0"), F.avg("q").alias("rel"), F.var_pop("r").alias("rv"), F.var_pop("m").alias("mv"),
+        F.covar_pop("r", "m").alias("cv"), F.stddev_samp("d").alias("sd"), F.count("ref").alias("refs"), F.count("mea").alias("meas"),
+        F.count_if(F.col("reason").startswith("flagged_")).alias("flagged"),
+    )
+    n, c = F.col("n_"), F.col
+    two = lambda x: F.when(n >= 2, x)
     safe = lambda a, b: F.try_divide(a, F.nullif(b, F.lit(0.0)))
-    cov = F.avg(r * m) - F.avg(r) * F.avg(m)
-    sd = F.coalesce(F.stddev_samp(d), F.lit(0.0))
-    refs, meas = F.count("ref"), F.count("mea")
-    return [
+    sd = F.coalesce("sd", F.lit(0.0))
+    return base.select(
+        *by,
         F.when(n >= 2, n).otherwise(F.lit(0)).cast("long").alias("n"),
-        two(rmean).alias("reference_mean"), two(F.avg(m)).alias("measured_mean"),
-        two(F.avg(F.abs(d))).alias("mae"), two(100 * safe(F.avg(F.abs(d)), rmean)).alias("mae_percent"),
-        two(F.sqrt(F.avg(d * d))).alias("rmse"), two(F.avg(d)).alias("mean_bias"), two(100 * safe(F.avg(d), rmean)).alias("bias_percent"),
-        two(F.when(F.min(r) > 0, F.avg(safe(F.abs(d), r)))).alias("mean_relative_error"),
-        two(F.when(scatter > 0, 1 - safe(F.sum(d * d), scatter))).alias("r_squared_identity"),
-        two(safe(cov, F.stddev_pop(r) * F.stddev_pop(m))).alias("pearson_r"),
-        two(F.avg(d) - 1.96 * sd).alias("limit_low"), two(F.avg(d) + 1.96 * sd).alias("limit_high"),
-        refs.alias("reference_particles"), meas.alias("measured_particles"), n.alias("matched_particles"),
-        (refs - n).alias("missed"), (meas - n).alias("extra"),
-        F.count_if(F.col("reason").startswith("flagged_")).alias("flagged"),
-        F.try_divide(n, refs).alias("recall"), F.try_divide(n, meas).alias("precision"), F.try_divide(meas, refs).alias("count_ratio"),
-    ]
+        two(c("rm")).alias("reference_mean"), two(c("mm")).alias("measured_mean"),
+        two(c("ae")).alias("mae"), two(100 * safe(c("ae"), c("rm"))).alias("mae_percent"),
+        two(F.sqrt("sq")).alias("rmse"), two(c("bd")).alias("mean_bias"), two(100 * safe(c("bd"), c("rm"))).alias("bias_percent"),
+        two(F.when(c("r0") > 0, c("rel"))).alias("mean_relative_error"),
+        two(F.when(c("rv") > 0, 1 - safe(c("sq"), c("rv")))).alias("r_squared_identity"),
+        two(F.when((c("rv") > 0) & (c("mv") > 0), safe(c("cv"), F.sqrt(c("rv") * c("mv"))))).alias("pearson_r"),
+        two(c("bd") - 1.96 * sd).alias("limit_low"), two(c("bd") + 1.96 * sd).alias("limit_high"),
+        c("refs").alias("reference_particles"), c("meas").alias("measured_particles"), n.alias("matched_particles"),
+        (c("refs") - n).alias("missed"), (c("meas") - n).alias("extra"), "flagged",
+        F.try_divide(n, c("refs")).alias("recall"), F.try_divide(n, c("meas")).alias("precision"), F.try_divide(c("meas"), c("refs")).alias("count_ratio"),
+    )
 
 
 def report(long: DataFrame, strata: list[str], quantities: list[str], digits: int = 6) -> DataFrame:
@@ -106,10 +114,10 @@ def report(long: DataFrame, strata: list[str], quantities: list[str], digits: in
         F.struct(F.lit("overall").alias("stratum"), F.lit("all").alias("value")),
         *[F.struct(F.lit(s).alias("stratum"), F.coalesce(filled(F.col(s)), F.lit("unspecified")).alias("value")) for s in strata],
     )
-    rows = long.withColumn("reason", verdict(F.col("ref"), F.col("mea"), F.col("status"))).select(
-        "quantity", "ref", "mea", "reason", F.explode(spread).alias("g")
-    ).select("quantity", "ref", "mea", "reason", "g.stratum", "g.value")
-    per = rows.groupBy("stratum", "value", "quantity").agg(*metric_columns())
+    rows = pair_columns(long.withColumn("reason", verdict(F.col("ref"), F.col("mea"), F.col("status")))).select(
+        "quantity", "ref", "mea", "reason", "r", "m", "d", "e", "q", F.explode(spread).alias("g")
+    ).select("quantity", "ref", "mea", "reason", "r", "m", "d", "e", "q", "g.stratum", "g.value")
+    per = cut(metrics(rows, ["stratum", "value", "quantity"]))  # a few rows, read twice below
     w = Window.partitionBy("stratum")
     cells = per.select("stratum", "value").distinct()
     cells = cells.withColumn("k", F.count("*").over(w)).where("stratum = 'overall' or k >= 2").drop("k")

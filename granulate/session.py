@@ -30,3 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint, which outlives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores, before per-row Python work.
+
+    Only an input of very few files is moved; a large one has its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
