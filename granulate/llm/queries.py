@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granulate.llm import canonical, crosssplit, groupsplit, history, leakage, mixture, quality, truncation
+from granulate.llm import canonical, crosssplit, groupsplit, history, leakage, mixture, oracles, quality, truncation
 from granulate.session import read
 
 
@@ -78,4 +78,4 @@ def p9_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_counts, p3_found, p3_assign, p3_shares, p4_found, p4_unmatched, p6_found, p7_found, p7_items, p8_mix, p8_shares, p9_found, p9_scores, p9_summary)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
