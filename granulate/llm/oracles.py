@@ -90,4 +90,13 @@ SELECT 'tile', least(a.k, b.k), greatest(a.k, b.k) FROM v a JOIN v b ON a.f = b.
 WHERE least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) AND least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x)
   AND 2 * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) * (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) >= least(a.h * a.w, b.h * b.w)"""
 
-ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+BARE = "regexp_replace(regexp_replace(trim(source_url, ' '), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '')"
+RESOURCE = f"""CASE WHEN trim(source_url, ' ') <> '' THEN regexp_replace(regexp_replace(lower(regexp_extract({BARE}, '^([^/?]*)', 1)), '^www[.]', ''), ':(80|443)$', '')
+  || regexp_replace(url_decode(regexp_extract({BARE}, '^[^/?]*([^?]*)', 1)), '/+$', '') || '?'
+  || array_to_string(list_sort(list_filter(string_split(regexp_extract({BARE}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(utm_[^=]*|sessionid)(=|$)'))), '&') END"""
+FIELDS = f"""{digest("file_sha256")} AS d, {picture("ahash")} AS h, nullif(lower(trim(image_id)), '') AS i, {RESOURCE} AS u"""
+P6_FOUND = f"""WITH n AS (SELECT batch_no AS b, record_no AS r, {FIELDS} FROM image_batches),
+o AS (SELECT -1 AS b, row_no AS r, {FIELDS} FROM images WHERE lower(trim(curation_status)) = 'accepted' UNION ALL SELECT * FROM n)
+SELECT DISTINCT n.r AS record_no FROM n JOIN o ON (o.b < n.b OR o.b = n.b AND o.r < n.r) AND (n.d = o.d OR n.i = o.i OR n.u = o.u OR bit_count(xor(n.h, o.h)) <= 12)"""
+
+ORACLES = {"p6_found": P6_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
