@@ -3,7 +3,8 @@
 Each statistic is ranked exactly within its language: values are counted, range
 partitioned, sorted and cumulated with the offsets of the partitions before.
 The empirical tail probabilities of all statistics add up to an outlier score
-(-log of the two-sided tails). Texts that stand out are named by their lines.
+(-log of the two-sided tails). The score ranks, it decides nothing: a form that
+a third of a language shares is no outlier there. Every text is named by its lines.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from granulate.llm import textform
 from granulate.session import cut, spread
 
 STATS = ["words", "mean_word", "symbols", "digits", "closed_lines", "common", "distinct", "sentence_words", "not_prose"]
-OUTLYING = 3.0  # score from which a text's form is asked for; prose reaches it too, its form then says so
 SMALL = 50  # languages with fewer documents are ranked together, as their tails are too coarse
 
 
@@ -89,11 +89,11 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, form of documents whose text stands out and is for the most part list, table or junk.
+    """doc_id, form of documents whose text is for the most part list, table or junk, however many others are alike.
 
-    An empty or NULL text is junk if it stands out. Repeated rows of a document are given once.
+    An empty or NULL text is junk. Repeated rows of a document are given once.
     """
-    return scored(docs).where((F.col("score") >= OUTLYING) & (F.col("form") != "prose")).select("doc_id", "form").distinct()
+    return statistics(docs).where("form != 'prose'").select("doc_id", "form").distinct()
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -106,6 +106,17 @@ def test_found_forms(docs):
     assert quality.found(docs()).count() == 0
 
 
+def test_found_forms_that_many_share(docs):
+    """Copies of one junk text on a third of the rows, a language without prose and one of a single document are all named."""
+    rows = [(i, PROSE + f" It was run {i} of the day.", "en", "s") for i in range(120)]
+    junk = [(1000 + i, FORMS["junk"][0], "en", "s") for i in range(60)]
+    tables = [(2000 + i, FORMS["table"][0], "nl", "s") for i in range(60)]
+    one = [(3000, FORMS["list"][0], "fr", "s"), (3001, "", "en", "s"), (3002, None, "en", "s")]
+    got = {r.doc_id: r.form for r in quality.found(docs(*rows, *junk, *tables, *one)).collect()}
+    assert got == {d: "junk" for d, *_ in junk} | {d: "table" for d, *_ in tables} | {3000: "list", 3001: "junk", 3002: "junk"}
+    assert {r.doc_id: r.form for r in quality.found(docs(one[0])).collect()} == {3000: "list"}
+
+
 def test_ranks_are_exact(spark):
     rng = random.Random(9)
     rows = [(rng.choice("ab"), rng.choice("xy"), float(rng.choice([0, 0, 0, rng.randrange(50)]))) for _ in range(2000)]
