@@ -2,8 +2,9 @@
 
 Sizes are tokens of a public tokenizer. Documents are counted by exact token
 length; the budget of a source is met by whole repeats, a share of every length,
-and a bounded-knapsack fit of the rest over the lengths left. Seeded hashes
-decide which documents of a length are taken.
+and a bounded-knapsack fit of the rest over the lengths left, in coarser units
+while long documents have to fill it. Seeded hashes decide which documents of a
+length are taken.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from granulate.session import cut, spread
 RANKS_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BUCKETS = 1024  # seeded hash buckets a length is cut into, so no length is sorted in one task
-FIT = 1 << 15  # tokens of the rest that the knapsack fits exactly
+FIT = 1 << 15  # tokens of the rest that the knapsack fits exactly; more are fitted in units of 1 / FIT of them
+FEW = 15  # documents whose sums (at most FIT) are all tried, whatever their lengths
 LONG = 1 << 13  # characters tokenized at once; longer texts are cut at white space
 
 
@@ -92,6 +94,40 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return take
 
 
+def fit_long(base: DataFrame, missing: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """`base` with more taken for sources that miss over FIT tokens and have longer documents to spare, and what is missing then.
+
+    Lengths are counted in units of 1 / FIT of what is missing, rounded up, so a
+    source has at most FIT sizes however many documents; the next round fits what
+    the rounding left. It ends when no long document fits any more.
+    """
+    spark, missing = base.sparkSession, dict(missing)
+    spare = F.col("n") - F.col("take")
+    while over := [(s, m) for s, m in missing.items() if m > FIT]:
+        open_ = base.where("take < n").join(F.broadcast(spark.createDataFrame(over, "source string, missing long")), "source").where("tokens <= missing")
+        fits = open_.groupBy("source").agg(F.sum(spare).alias("docs"), F.max("tokens").alias("longest")).where(F.col("longest") > FIT).collect()
+        if not fits:
+            break
+        units = {r["source"]: 1 if r["docs"] <= FEW else -(-missing[r["source"]] // FIT) for r in fits}
+        sized = open_.join(F.broadcast(spark.createDataFrame(list(units.items()), "source string, unit long")), "source").withColumn("size", F.expr("(tokens + unit - 1) div unit"))
+        # Of much that is missing the last documents are left to a round of finer units.
+        aims = {r["source"]: missing[r["source"]] - (FEW * r["longest"] if missing[r["source"]] > 2 * FEW * r["longest"] else 0) for r in fits}
+        counts: dict[str, dict[int, int]] = {}
+        for r in sized.groupBy("source", "size").agg(F.sum(spare).alias("k")).collect():
+            counts.setdefault(r["source"], {})[r["size"]] = r["k"]
+        # Where rounding up leaves no size that fits, the longest document still does.
+        picks = [(s, size, k) for s, u in units.items() for size, k in (knapsack(counts[s], aims[s] // u) or {max(counts[s]): 1}).items()]
+        upto = F.sum(spare).over(Window.partitionBy("source", "size").orderBy(F.desc("tokens")))
+        more = sized.join(F.broadcast(spark.createDataFrame(picks, "source string, size long, k long")), ["source", "size"]).select(
+            "source", "tokens", F.greatest(F.lit(0), F.least(spare, F.col("k") - upto + spare)).alias("more")
+        ).where("more > 0")
+        more = cut(more)
+        for r in more.groupBy("source").agg(F.sum(F.col("tokens") * F.col("more")).alias("t")).collect():
+            missing[r["source"]] -= r["t"]
+        base = cut(base.join(more, ["source", "tokens"], "left").select("source", "tokens", "n", (F.col("take") + F.coalesce("more", F.lit(0))).alias("take")))
+    return base, missing
+
+
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(source, tokens, take) table of extra documents by length, and the plan of each source.
 
@@ -120,12 +156,13 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> tupl
     shares = spark.createDataFrame([(p["source"], p["rest"] / p["have"]) for p in plans] or [("", 0.0)], "source string, f double")
     base = cut(lengths.join(F.broadcast(shares), "source").select("source", "tokens", "n", F.floor(F.col("n") * F.col("f")).alias("take")))
     got = {r["source"]: r["t"] for r in base.groupBy("source").agg(F.sum(F.col("tokens") * F.col("take")).alias("t")).collect()}
-    # Lengths the rest is fitted from: at most FIT rows a target source.
+    base, lacks = fit_long(base, {p["source"]: p["rest"] - got.get(p["source"], 0) for p in plans})
+    # Lengths the rest is fitted from: at most FIT rows a target source. No longer document fits what is missing.
     spare: dict[str, dict[int, int]] = {}
     for r in base.where((F.col("take") < F.col("n")) & (F.col("tokens") <= FIT)).collect():
         spare.setdefault(r["source"], {})[r["tokens"]] = r["n"] - r["take"]
     for p in plans:
-        missing, free = p["rest"] - got.get(p["source"], 0), spare.get(p["source"], {})
+        missing, free = lacks[p["source"]], spare.get(p["source"], {})
         mine = by_source.setdefault(p["source"], {})
         for length in sorted(free, reverse=True):
             n = min(free[length], max(0, missing - FIT // 2) // length) if missing > FIT else 0

@@ -82,6 +82,31 @@ def test_mix(spark, docs):
     assert again == {(r.doc_id, r.repeats) for r in out}
 
 
+def test_long_documents_fill_the_rest(spark):
+    """Lengths that occur once have no share of their own; the fit takes them whole, next to short ones and alone."""
+    rng = random.Random(8)
+    have = {
+        "ten": [rng.randrange(90_000, 110_000) for _ in range(10)], "halves": [60_000, 50_001, 50_001], "one": [200_000, 100_000],
+        "many": [rng.randrange(40_000, 200_000) for _ in range(300)], "mixed": [rng.randrange(40_000, 200_000) for _ in range(40)] + [rng.randrange(5, 900) for _ in range(400)],
+    }
+    rests = {"ten": 0.55, "halves": 100_002 / 160_002, "one": 1 / 3, "many": 0.4, "mixed": 0.7}
+    sizes = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in have.items() for n in ns)], "doc_id long, source string, tokens long")
+    for s, f in rests.items():
+        rest = round(sum(have[s]) * f)
+        targets = spark.createDataFrame([(s, 1.0, 1)], "source string, target_share double, max_repeats int")
+        take, plans = mixture.plan(sizes, targets, rest)
+        got = [(r.tokens, r["take"]) for r in take.collect()]
+        assert plans[0]["rest"] == rest and all(k <= have[s].count(n) for n, k in got)
+        total = sum(n * k for n, k in got)
+        if len(have[s]) <= 10:
+            sums = {0}
+            for n in have[s]:
+                sums |= {t + n for t in sums}
+            assert total == max(t for t in sums if t <= rest), s
+        else:
+            assert rest - (0 if s == "mixed" else 0.001 * rest) <= total <= rest, s
+
+
 PROSE = "The rods were washed in water and dried before imaging. We counted the particles that lay in the frame, and the rest was left out."
 FORMS = {
     "prose": [PROSE, PROSE.lower().replace(".", "").replace(",", ""), PROSE.replace(" in ", "\nin "), "Die Proben wurden gewaschen und bei 40 °C getrocknet, weil die Hülle nicht dicht war.", PROSE + "\n- gold rods\n- silver cubes", PROSE * 3 + "\na,1,2\nb,3,4\nc,5,6"],
