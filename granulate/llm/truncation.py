@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulate.functions import normalise
@@ -200,13 +200,13 @@ def judged(captions: DataFrame) -> DataFrame:
         .otherwise(F.col("stub") | F.coalesce(F.col("p") < WHOLE, F.lit(True)))
         .alias("goes_on"),
     )
-    limits = field_limits(rows)
-    at = F.col("site").eqNullSafe(F.col("lsite")) & ((F.col("chars") == F.col("size")) & (F.col("unit") == "chars") | (F.col("bytes") == F.col("size")) & (F.col("unit") == "bytes"))
-    here = rows.join(F.broadcast(limits), at, "left")
+    limits = field_limits(rows).withColumnsRenamed({"unit": "lunit", "size": "lsize"})
+    at = F.col("site").eqNullSafe(F.col("lsite")) & (F.col("unit") == F.col("lunit")) & (F.col("size") == F.col("lsize"))
+    here = sized(rows, "row_no", "open", "gap").join(limits, at, "left")
     why = (
         F.when(F.col("open"), "structure")
         .when(F.col("goes_on"), F.when(F.col("term"), "abbreviation goes on").otherwise("text goes on"))
-        .when(F.col("size").isNotNull() & (F.col("gap") | (~F.col("term") & F.col("cut_ends"))), "field limit")
+        .when(F.col("lsize").isNotNull() & (F.col("gap") | (~F.col("term") & F.col("cut_ends"))), "field limit")
     )
     return (
         here.groupBy("row_no", "site").agg(F.max(why).alias("why"))
@@ -214,36 +214,36 @@ def judged(captions: DataFrame) -> DataFrame:
     )
 
 
-def field_limits(rows: DataFrame, least: int = 5, peak: float = 5.0, top: int = 4096) -> DataFrame:
+def sized(rows: DataFrame, *more: str) -> DataFrame:
+    """site, goes_on, term and `more` of every row, once for its size in chars and once for that in bytes."""
+    units = F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))
+    return rows.select("site", "goes_on", "term", *more, F.explode(units).alias("unit", "size"))
+
+
+def field_limits(rows: DataFrame, least: int = 5, peak: float = 5.0) -> DataFrame:
     """Field limits by site: lsite, unit (chars or bytes), size, cut_ends.
 
-    A limit is the length at which texts that go on pile up, `peak` times over
-    the mean of the ten lengths below. cut_ends: unterminated texts at the limit
-    that could be whole are more than twice what the site's share of unpunctuated
-    texts lets expect there. At most one limit a site and unit; the table is
-    broadcast, its size is bounded by `top` sites, those with most cases (a site
-    beyond them still has its structure and context rules).
+    A limit is a length at which texts that go on pile up, `peak` times over the
+    mean of the ten lengths below; a site may have several (the NULL site mixes
+    sites). Where it is not the site's largest pile, most unterminated texts of
+    that length must go on, as lengths that whole texts share pile up too.
+    cut_ends: unterminated texts at the limit that could be whole are
+    more than twice what the site's share of unpunctuated texts lets expect there.
     """
-    long = rows.select("site", "goes_on", "term", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "size"))
-    per = long.groupBy("site", "unit", "size").agg(
+    per = sized(rows).groupBy("site", "unit", "size").agg(
         F.count_if(F.col("goes_on") & ~F.col("term")).alias("cuts"),
         F.count_if(~F.col("goes_on") & ~F.col("term")).alias("bare"),
         F.count_if(F.col("term")).alias("full"),
     )
-    site = per.groupBy("site", "unit").agg(F.sum("bare").alias("all_bare"), F.sum("full").alias("all_full"), F.max_by("size", F.struct("cuts", "size")).alias("size"), F.max("cuts").alias("most"))
-    below = per.alias("p").join(site.select("site", "unit", F.col("size").alias("s")).alias("s"), (F.col("p.site").eqNullSafe(F.col("s.site"))) & (F.col("p.unit") == F.col("s.unit")) & (F.col("p.size") < F.col("s")) & (F.col("p.size") >= F.col("s") - 10))
-    near = below.groupBy(F.col("p.site").alias("nsite"), F.col("p.unit").alias("nunit")).agg((F.sum("p.cuts") / 10).alias("near"))
-    own = per.select(F.col("site").alias("osite"), F.col("unit").alias("ounit"), F.col("size").alias("osize"), "bare", "full")
+    w = Window.partitionBy("site", "unit")  # a row a length, however many texts
+    near = F.coalesce(F.sum("cuts").over(w.orderBy("size").rangeBetween(-10, -1)), F.lit(0)) / 10
     return (
-        site.join(near, F.col("site").eqNullSafe(F.col("nsite")) & (F.col("unit") == F.col("nunit")), "left")
-        .join(own, F.col("site").eqNullSafe(F.col("osite")) & (F.col("unit") == F.col("ounit")) & (F.col("size") == F.col("osize")))
-        .where((F.col("most") >= least) & (F.col("most") >= peak * F.greatest(F.coalesce("near", F.lit(0.0)), F.lit(0.2))))
+        per.select("*", near.alias("near"), F.sum("bare").over(w).alias("all_bare"), F.sum("full").over(w).alias("all_full"), F.max(F.struct("cuts", "size")).over(w)["size"].alias("largest"))
+        .where((F.col("cuts") >= least) & (F.col("cuts") >= peak * F.greatest("near", F.lit(0.2))) & ((F.col("size") == F.col("largest")) | (F.col("cuts") > F.col("bare"))))
         .select(
             F.col("site").alias("lsite"), "unit", "size",
             (F.col("bare") > 2 * F.col("full") * F.col("all_bare") / F.greatest("all_full", F.lit(1))).alias("cut_ends"),
-            "most",
         )
-        .orderBy(F.desc("most"), "lsite", "unit").limit(top)
     )
 
 

@@ -57,3 +57,22 @@ def test_field_limit(images, sources):
     found = {r.row_no for r in t.found(images(*rows), sources()).collect()}
     assert found >= {500 + n for n in range(40) if not rows[60 + n]["caption"].rstrip().endswith(".")}
     assert not found & set(range(60))
+
+
+def test_every_limit_of_every_site(spark):
+    """Several limits a site, one of the NULL site, and more sites than a list of limits could hold."""
+    rows = [(site, True, False, size, size) for site, sizes in (("a", (80, 200)), (None, (60, 90, 300))) for size in sizes for _ in range(6)]
+    rows += [("a", False, True, n, n) for n in range(40, 250)] + [("a", go, False, 74, 74) for go in [True] * 5 + [False] * 30]  # a length of whole texts
+    many = spark.range(5000).selectExpr("concat('s', id) site", "true goes_on", "false term", "int(50 + id % 7) chars", "int(50 + id % 7) bytes", "explode(sequence(1, 5)) k").drop("k")
+    got = t.field_limits(spark.createDataFrame(rows, "site string, goes_on boolean, term boolean, chars int, bytes int").unionByName(many)).where("unit = 'chars'").collect()
+    assert len(got) == 5005
+    assert {(r.lsite, r["size"]) for r in got if r.lsite in ("a", None)} == {("a", 80), ("a", 200), (None, 60), (None, 90), (None, 300)}
+
+
+def test_second_limit_of_a_site(images, sources):
+    """After a blank a caption is cut at either limit of its site, and only there."""
+    whole = [{"row_no": n, "source_url": "https://a.example", "caption": f"Micrograph number {n} of gold rods on a film. Arrows mark missing cores near the rim."} for n in range(60)]
+    text = "Overview of gold rods on a film. Arrows mark missing cores near the rim. Micrograph of gold rods on a film."
+    cuts = [{"row_no": 500 + n, "source_url": "https://b.example", "caption": f"Note {'x' * (n % 4)}. {text}"[:limit]} for n, limit in enumerate([60] * 40 + [100] * 30)]
+    ends = [{"row_no": 700 + i, "source_url": "https://b.example", "caption": "Arrows mark missing cores near the rim".rjust(n - 1, "x") + " "} for i, n in enumerate((60, 100, 90))]
+    assert {r.row_no for r in t.found(images(*whole, *cuts, *ends), sources()).where("row_no >= 700").collect()} == {700, 701}
