@@ -87,5 +87,6 @@ def near_duplicates(rows: DataFrame, key: str, bits: str, radius: int = 3) -> Da
 
 
 def classes(rows: DataFrame, key: str, bits: str) -> DataFrame:
-    """key and the representative (least key) of its equal bit texts."""
-    return rows.join(rows.groupBy(bits).agg(F.min(key).alias("representative")), bits).select(key, "representative")
+    """key and the representative (least key) of its equal bit texts, for every row that `near_duplicates` reads."""
+    whole = rows.where(F.length(bits) == 64)
+    return whole.join(whole.groupBy(bits).agg(F.min(key).alias("representative")), bits).select(key, "representative")

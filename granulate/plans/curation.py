@@ -43,6 +43,11 @@ def near_duplicates(spark, d):
     return splits.near_duplicates(average_hashes(spark, d), "vec_id", "hash", 16)
 
 
+def near_duplicate_classes(spark, d):
+    """The representative of each row in `near_duplicates`; rows with the same one are exact copies."""
+    return splits.classes(average_hashes(spark, d), "vec_id", "hash")
+
+
 def rule_classes(spark, d):
     s = read(spark, d, "sources")
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
@@ -163,7 +168,7 @@ def runs_of_days(spark, d):
 
 
 NAMES = [
-    split_assign, split_preserve, split_audit, val_split_running, duplicate_checksums, average_hashes, near_duplicates, rule_classes, address_parts, stable_ids,
+    split_assign, split_preserve, split_audit, val_split_running, duplicate_checksums, average_hashes, near_duplicates, near_duplicate_classes, rule_classes, address_parts, stable_ids,
     metadata_audit, provenance_gaps, state_tally, triage_tally, upsert_last, apply_edits, precedence_lookup, missing_sources, first_seen_ids, capped_per_source,
     triage_accuracy, triage_classes, triage_scores, panel_layouts, tile_grids, runs_of_days,
 ]

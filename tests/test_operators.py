@@ -124,6 +124,24 @@ def test_near_duplicates_match_all_pairs(frame):
     assert {(r.a, r.b) for r in splits.near_duplicates(frame(rows, "k int, h string"), "k", "h").collect()} == want
 
 
+def test_copies_are_in_classes(spark, frame, tmp_path):
+    """With the classes, the pairs of representatives give all pairs of rows, exact copies too; the query has every row."""
+    from granulate.plans import registry
+
+    a, b = "01" * 32, "01" * 31 + "11"
+    rows = [(i, a if i % 3 else b) for i in range(9)] + [(20, "0" * 64), (21, None), (22, ""), (23, "")]
+    df = frame(rows, "k int, h string")
+    rep = {r.k: r.representative for r in splits.classes(df, "k", "h").collect()}
+    near = {(r.a, r.b) for r in splits.near_duplicates(df, "k", "h").collect()}
+    full = {k: h for k, h in rows if h}
+    want = {(x, y) for x in full for y in full if x < y and sum(p != q for p, q in zip(full[x], full[y])) <= 3}
+    assert {(x, y) for x in rep for y in rep if x < y and (rep[x] == rep[y] or tuple(sorted((rep[x], rep[y]))) in near)} == want
+    vectors = frame([(i, "l", [float(i % 2), 0.5] * 32) for i in range(6)], "vec_id long, label string, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.representative for r in registry.QUERIES["near_duplicate_classes"](spark, str(tmp_path)).collect()}
+    assert got == {i: i % 2 for i in range(6)}
+
+
 def test_upsert_and_edits(frame):
     old = frame([("a", "1", "x"), ("b", "2", "y")], "id string, v string, w string")
     new = frame([("a", "", 1), ("a", "9", 2), ("c", "3", 1), (None, "4", 1), (" ", "5", 1)], "id string, v string, o int")
