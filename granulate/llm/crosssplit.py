@@ -1,11 +1,9 @@
 """Problem 2: records of evaluation splits that occur again in the training split.
 
-A record's checksum and hash are texts of 64 hex digits. Their suffixes at the
-block starts form a suffix array partitioned by the leading digits: suffixes
-that begin with the same block land in one partition and are neighbours there.
-A cross-split pair of neighbours with a common prefix of at least one block
-shares a span; 13 blocks guarantee one for hashes up to 12 bits apart. The
-spans of a pair are merged into its coverage by one exact comparison. Tiles are
+A record's checksum and hash are texts of 64 hex digits. Equal ones are joined
+by equality; near hashes by 13 blocks at fixed places, one of which is equal for
+hashes up to 12 bits apart, and by one exact comparison. This replaces the named
+suffix array: no suffixes are sorted, and digests need none. Tiles are
 cut from one figure, so there the shared span is the path up to the panel, and
 coverage is the shared part of the window.
 """
@@ -33,7 +31,7 @@ def image_rows(images: DataFrame) -> DataFrame:
 
 
 def suffixes(hashes: DataFrame) -> DataFrame:
-    """The suffix array's entries: key (block number and content), pivot row and hash id."""
+    """Block keys of the hashes, 13 each: key (block number and content), pivot row and hash id."""
     w = hashes.withColumn("w", bits.words(F.col("hash")))
     return w.select(
         F.explode(bits.block_keys(F.col("hash"))).alias("key"),
