@@ -3,8 +3,8 @@
 Every window of 12 words of items and documents gets a 64-bit SimHash. Cut into
 radius + 1 blocks, two fingerprints within the radius agree in a block, so equal
 blocks find all of them; windows with the same 12 words have the same
-fingerprint, so no exact passage is missed. Candidates are verified by weighted
-shingle similarity and, for leaked passages, by the words themselves.
+fingerprint, so no exact passage is missed. Candidates are verified by the words
+themselves; this replaces a weighted shingle similarity, as a case needs equal words.
 """
 
 from __future__ import annotations
