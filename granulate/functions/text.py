@@ -161,9 +161,9 @@ def licence_allowed(text: Column) -> Column:
     return ~any_of(t, LICENCE_DENIED) & ~t.rlike(r"cc[-_\s]?by[-_\s]?(nc|nd)") & any_of(t, LICENCE_PATTERNS)
 
 
-def licence_status(text: Column) -> Column:
-    """missing, accepted or rejected_for_public_corpus."""
-    return F.when(F.coalesce(text, F.lit("")) == "", "missing").when(licence_allowed(text), "accepted").otherwise("rejected_for_public_corpus")
+def licence_status(text: Column, rejected: str = "rejected") -> Column:
+    """missing, accepted or the status named `rejected`."""
+    return F.when(F.coalesce(text, F.lit("")) == "", "missing").when(licence_allowed(text), "accepted").otherwise(rejected)
 
 
 def public_licence(status: Column, *texts: Column, with_status: bool = False) -> Column:

@@ -5,33 +5,40 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granulate.functions import geometry as g
+from granulate.functions import normalise
 from granulate.functions import text as t
 from granulate.operators import curation, figures, splits
 from granulate.session import read
 
 
+def group_of():
+    """Leakage group of an image row: its source, else the image itself."""
+    return F.coalesce(t.filled(F.lower("source_id")), t.filled(F.col("image_id"))).alias("grp")
+
+
 def split_assign(spark, d):
-    rows = read(spark, d, "images").select("row_no", t.filled(F.lower("source_id")).alias("grp"))
+    rows = read(spark, d, "images").select("row_no", group_of())
     return splits.assign(rows, "grp").select("row_no", "grp", "new_split")
 
 
 def split_preserve(spark, d):
-    rows = read(spark, d, "images").select("row_no", "split", t.filled(F.lower("source_id")).alias("grp"))
+    rows = read(spark, d, "images").select("row_no", "split", group_of())
     return splits.assign(rows, "grp", keep="split").groupBy("new_split").agg(F.count("*").alias("n"))
 
 
 def split_audit(spark, d):
-    rows = read(spark, d, "images").select("split", t.filled(F.lower("source_id")).alias("grp")).where("grp is not null and split in ('train', 'val', 'test')")
+    rows = read(spark, d, "images").select(normalise.split_name(F.col("split")).alias("split"), group_of()).where("grp is not null and split is not null")
     return splits.torn_groups(rows, "grp", "split")
 
 
 def val_split_running(spark, d):
-    rows = read(spark, d, "images").select(t.filled(F.lower("source_id")).alias("grp")).where("grp is not null")
+    rows = read(spark, d, "images").select(group_of()).where("grp is not null")
     return splits.running_val(rows, "grp")
 
 
 def duplicate_checksums(spark, d):
-    rows = read(spark, d, "images").where(F.length("file_sha256") == 64)
+    """Digests, however written, of two rows or more."""
+    rows = read(spark, d, "images").select(normalise.sha256_digest(F.col("file_sha256")).alias("file_sha256"), normalise.split_name(F.col("split")).alias("split"))
     return splits.duplicate_checksums(rows, "file_sha256", "split")
 
 
@@ -40,7 +47,7 @@ def average_hashes(spark, d):
 
 
 def near_duplicates(spark, d):
-    return splits.near_duplicates(average_hashes(spark, d), "vec_id", "hash", 16)
+    return splits.near_duplicates(average_hashes(spark, d), "vec_id", "hash")
 
 
 def near_duplicate_classes(spark, d):
@@ -98,11 +105,11 @@ def upsert_last(spark, d):
 
 
 def apply_edits(spark, d):
+    """Customers are the objects, all events the edits: users without a customer are added, rejected ones leave."""
     e = read(spark, d, "events")
-    objects = e.where("event_id % 3 = 0").select(F.col("user_id").alias("k"), "value", "event_id")
-    objects = curation.last_by(objects, ["k"], [F.col("event_id")]).drop("event_id")
+    objects = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("value"))
     act = F.element_at(F.array(F.lit("reject"), F.lit("update"), F.lit("add")), (F.col("event_id") % 3 + 1).cast("int"))
-    edits = e.where("event_id % 5 = 0").select(F.col("user_id").alias("k"), "event_id", "value", act.alias("action"))
+    edits = e.select(F.col("user_id").alias("k"), "event_id", "value", act.alias("action"))
     return curation.apply_edits(objects, edits, "k", "event_id")
 
 
@@ -174,7 +181,10 @@ NAMES = [
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
-RANKED = """i AS (SELECT row_no, split, nullif(trim(lower(source_id), ' '), '') AS grp FROM images), g AS (SELECT DISTINCT grp FROM i WHERE grp IS NOT NULL),
+SPELLED = "regexp_replace(lower(split), '[^a-z]', '', 'g')"
+SPLIT = f"CASE WHEN {SPELLED} IN ('train', 'training') THEN 'train' WHEN {SPELLED} IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN {SPELLED} IN ('test', 'testing') THEN 'test' END"
+DIGEST = "regexp_replace(regexp_replace(lower(file_sha256), '\\s', '', 'g'), '^(sha-?_?256[:=_-]?|0x)', '')"
+RANKED = f"""i AS (SELECT row_no, split, {SPLIT} AS sp, coalesce(nullif(trim(lower(source_id), ' '), ''), nullif(trim(image_id, ' '), '')) AS grp FROM images), g AS (SELECT DISTINCT grp FROM i WHERE grp IS NOT NULL),
 r AS (SELECT grp, row_number() OVER (ORDER BY sha1(grp), grp) - 1 AS p, count(*) OVER () AS n FROM g),
 c AS (SELECT *, greatest(1, round_even(n * 0.70, 0)) AS a FROM r), s AS (SELECT *, greatest(a + 1, round_even(n * (0.70::DOUBLE + 0.15::DOUBLE), 0)) AS b FROM c),
 x AS (SELECT grp, CASE WHEN n = 1 THEN 'train' WHEN n = 2 THEN CASE WHEN p = 0 THEN 'train' ELSE 'val' END WHEN p < a THEN 'train' WHEN p < b THEN 'val' ELSE 'test' END AS assigned FROM s)"""
@@ -202,18 +212,19 @@ def _tally(table: str, columns: list[str]) -> str:
 ORACLES = {
     "split_assign": f"WITH {RANKED} SELECT row_no, i.grp, coalesce(assigned, 'train') AS new_split FROM i LEFT JOIN x ON i.grp = x.grp",
     "split_preserve": f"WITH {RANKED} SELECT CASE WHEN split IN ('train', 'val', 'test') THEN split ELSE coalesce(assigned, 'train') END AS new_split, count(*) AS n FROM i LEFT JOIN x ON i.grp = x.grp GROUP BY 1",
-    "split_audit": f"WITH {RANKED} SELECT grp, string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM i WHERE grp IS NOT NULL AND split IN ('train', 'val', 'test') GROUP BY grp HAVING count(DISTINCT split) > 1",
+    "split_audit": f"WITH {RANKED} SELECT grp, string_agg(DISTINCT sp, ',' ORDER BY sp) AS splits FROM i WHERE grp IS NOT NULL AND sp IS NOT NULL GROUP BY grp HAVING count(DISTINCT sp) > 1",
     "val_split_running": f"""WITH {RANKED}, z AS (SELECT grp, count(*) AS n FROM i WHERE grp IS NOT NULL GROUP BY grp),
       q AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM z)
       SELECT grp, n, before < greatest(1, round_even(total * 0.15::DOUBLE, 0)) OR before = 0 AS val FROM q""",
-    "duplicate_checksums": """SELECT file_sha256, count(*) AS n, string_agg(DISTINCT coalesce(split, ''), ',' ORDER BY coalesce(split, '')) AS splits, count(DISTINCT coalesce(split, '')) > 1 AS leak
-      FROM images WHERE length(file_sha256) = 64 GROUP BY file_sha256 HAVING count(*) >= 2""",
+    "duplicate_checksums": f"""WITH x AS (SELECT {DIGEST} AS file_sha256, coalesce({SPLIT}, '') AS sp FROM images)
+      SELECT file_sha256, count(*) AS n, string_agg(DISTINCT sp, ',' ORDER BY sp) AS splits, count(DISTINCT sp) > 1 AS leak
+      FROM x WHERE regexp_matches(file_sha256, '^[0-9a-f]{{64}}$') AND file_sha256 <> repeat(file_sha256[1:1], 64) AND file_sha256 <> '{normalise.EMPTY_SHA256}' GROUP BY file_sha256 HAVING count(*) >= 2""",
     "average_hashes": f"WITH {HASH} SELECT vec_id, label, hash FROM h",
-    "near_duplicates": f"WITH {HASH}, r AS (SELECT hash, min(vec_id) AS k FROM h GROUP BY hash) SELECT a.k AS a, b.k AS b, hamming(a.hash, b.hash) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.hash, b.hash) <= 16",
+    "near_duplicates": f"WITH {HASH}, r AS (SELECT hash, min(vec_id) AS k FROM h GROUP BY hash) SELECT a.k AS a, b.k AS b, hamming(a.hash, b.hash) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.hash, b.hash) <= 3",
     "rule_classes": f"""WITH s AS (SELECT row_no, lower({TXT}) AS x, lower(concat_ws(' ', {TXT}, coalesce(keywords, ''), coalesce(journal, ''))) AS y, trim({PUBLIC}, ' ') AS lic, lower({PUBLIC}) AS pub, lower(trim(coalesce(license_status, ''), ' ')) AS st FROM sources)
       SELECT row_no, CASE WHEN contains(x, 'haadf') THEN 'HAADF' WHEN contains(x, 'bf-tem') OR contains(x, 'bright-field tem') THEN 'BF-TEM' WHEN contains(x, 'stem') THEN 'STEM'
           WHEN contains(x, 'tem') OR contains(x, 'transmission electron') THEN 'TEM' WHEN contains(x, 'sem') OR contains(x, 'scanning electron') THEN 'SEM' ELSE 'unknown' END AS modality_seen,
-        CASE WHEN lic = '' THEN 'missing' WHEN NOT {_any('lower(lic)', t.LICENCE_DENIED)} AND NOT regexp_matches(lower(lic), 'cc[-_\\s]?by[-_\\s]?(nc|nd)') AND {_any('lower(lic)', t.LICENCE_PATTERNS)} THEN 'accepted' ELSE 'rejected_for_public_corpus' END AS licence_seen,
+        CASE WHEN lic = '' THEN 'missing' WHEN NOT {_any('lower(lic)', t.LICENCE_DENIED)} AND NOT regexp_matches(lower(lic), 'cc[-_\\s]?by[-_\\s]?(nc|nd)') AND {_any('lower(lic)', t.LICENCE_PATTERNS)} THEN 'accepted' ELSE 'rejected' END AS licence_seen,
         (st = 'accepted' OR {_any('pub', t.PUBLIC_HINTS)}) AND NOT {_any('pub', t.BLOCKED_HINTS)} AS is_public,
         CASE WHEN {_any('y', t.SYNTHETIC_HINTS)} THEN 'synthetic_core_shell' WHEN {_any('y', t.CORE_SHELL_HINTS)} THEN 'real_exact' WHEN {_any('y', t.NEAR_HINTS)} THEN 'real_near' ELSE 'unknown' END AS layer FROM s""",
     "address_parts": """WITH s AS (SELECT row_no, trim(url, ' ') AS u FROM sources), a AS (SELECT row_no, CASE WHEN u = '' THEN '' WHEN starts_with(lower(u), 'doi:') THEN 'https://doi.org/' || trim(u[5:], ' ') WHEN regexp_matches(u, '(?i)^10\\.\\d{4,9}/') THEN 'https://doi.org/' || u
@@ -233,7 +244,7 @@ ORACLES = {
     "upsert_last": """WITH o AS (SELECT image_id, caption, width FROM images WHERE trim(image_id, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY row_no DESC) = 1),
       n AS (SELECT image_id, caption, width FROM image_batches WHERE trim(image_id, ' ') <> '' QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY record_no DESC) = 1)
       SELECT coalesce(o.image_id, n.image_id) AS image_id, CASE WHEN n.image_id IS NOT NULL THEN n.caption ELSE o.caption END AS caption, CASE WHEN n.image_id IS NOT NULL THEN n.width ELSE o.width END AS width FROM o FULL JOIN n ON o.image_id = n.image_id""",
-    "apply_edits": """WITH o AS (SELECT user_id AS k, arg_max(value, event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1), e AS (SELECT user_id AS k, max(event_id) AS id, arg_max(value, event_id) AS v FROM events WHERE event_id % 5 = 0 GROUP BY 1),
+    "apply_edits": """WITH o AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS v FROM customer), e AS (SELECT user_id AS k, max(event_id) AS id, arg_max(value, event_id) AS v FROM events GROUP BY 1),
       a AS (SELECT *, CASE id % 3 WHEN 0 THEN 'reject' WHEN 1 THEN 'update' ELSE 'add' END AS action FROM e)
       SELECT o.k, CASE WHEN action = 'update' THEN a.v ELSE o.v END AS value FROM o LEFT JOIN a ON o.k = a.k WHERE coalesce(action, '') <> 'reject' UNION ALL SELECT k, v FROM a WHERE action = 'add' AND k NOT IN (SELECT k FROM o)""",
     "precedence_lookup": """WITH a AS (SELECT source_id, arg_max(coalesce(title, chr(0)), row_no) AS title FROM sources WHERE trim(source_id, ' ') <> '' GROUP BY 1), b AS (SELECT local_path, arg_max(coalesce(title, chr(0)), row_no) AS title FROM sources WHERE trim(local_path, ' ') <> '' GROUP BY 1)

@@ -36,22 +36,24 @@ def csv_any(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def validation_table(spark: SparkSession, path: str) -> DataFrame:
+def validation_table(spark: SparkSession, path: str, measured: str = "measured") -> DataFrame:
     """Validation CSV: image_id, particle_id, optional text, reference_ and measured_ of the quantities it has.
 
+    `measured` is the prefix of the measured columns in the file.
+
     Missing identity columns or no quantity pair is an error; so is a cell that
     is neither a number nor a null token, raised when it is read.
     """
     df = csv_any(spark, path)
     lost = [c for c in ("image_id", "particle_id") if c not in df.columns]
-    known = [q for q in QUANTITIES if f"reference_{q}_nm" in df.columns and f"corpus_{q}_nm" in df.columns]
+    known = [q for q in QUANTITIES if f"reference_{q}_nm" in df.columns and f"{measured}_{q}_nm" in df.columns]
     if lost or not known:
         raise ValueError(f"missing columns {lost}" if lost else "no comparable quantity pair")
     cell = lambda c: F.when(unreadable(F.col(c)), F.raise_error(F.concat(F.lit(f"{path}: {c} is no number: "), F.col(c))).cast("double")).otherwise(number(F.col(c)))
     text = [c for c in ("morphology", "mode", "magnification", "source", "status", "notes") if c in df.columns]
     return df.select(
         *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("image_id", "particle_id", *text)],
-        *[cell(f"reference_{q}_nm").alias(f"reference_{q}") for q in known], *[cell(f"corpus_{q}_nm").alias(f"measured_{q}") for q in known],
+        *[cell(f"reference_{q}_nm").alias(f"reference_{q}") for q in known], *[cell(f"{measured}_{q}_nm").alias(f"measured_{q}") for q in known],
     )
 
 

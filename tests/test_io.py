@@ -22,9 +22,9 @@ def test_csv(spark, tmp_path):
 
 def test_validation_table(spark, tmp_path):
     p = tmp_path / "v.csv"
-    p.write_text("image_id,particle_id,reference_diameter_nm,corpus_diameter_nm,status\n i1 ,p1,10,11,\ni1,p2,n/a,inf,ambiguous\n")
+    p.write_text("image_id,particle_id,reference_diameter_nm,measured_diameter_nm,status\n i1 ,p1,10,11,\ni1,p2,n/a,inf,ambiguous\n")
     assert [tuple(r) for r in tables.validation_table(spark, str(p)).collect()] == [("i1", "p1", "", 10.0, 11.0), ("i1", "p2", "ambiguous", None, None)]
-    p.write_text("image_id,particle_id,reference_diameter_nm,corpus_diameter_nm\ni,p,ten,1\n")
+    p.write_text("image_id,particle_id,reference_diameter_nm,measured_diameter_nm\ni,p,ten,1\n")
     with pytest.raises(Exception, match="is no number"):
         tables.validation_table(spark, str(p)).collect()
     p.write_text("image_id,x\n1,2\n")

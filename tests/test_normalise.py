@@ -28,7 +28,7 @@ def test_dois_ids_splits(frame):
 
 def test_rules(frame):
     assert _map(frame, t.modality, ["HAADF image", "system", "temperature", "semantic", "", None]) == ["HAADF", "STEM", "TEM", "SEM", "unknown", "unknown"]
-    assert _map(frame, t.licence_status, ["CC BY 4.0", "cc-by-nc", "", None, "mit"]) == ["accepted", "rejected_for_public_corpus", "missing", "missing", "rejected_for_public_corpus"]
+    assert _map(frame, t.licence_status, ["CC BY 4.0", "cc-by-nc", "", None, "mit"]) == ["accepted", "rejected", "missing", "missing", "rejected"]
     assert _map(frame, t.class_name, ["Gold-core", "silica", "x_y", None]) == ["Au_core", "SiO2_outer", "x_y", None]
     assert _map(frame, t.source_address, ["doi: 10.1/x", "10.1234/x", "a.b/c", "http://a.b", " "]) == ["https://doi.org/10.1/x", "https://doi.org/10.1234/x", "https://a.b/c", "http://a.b", ""]
     assert _map(frame, t.number, ["1.5", " n/a ", "inf", "x", None]) == [1.5, None, None, None, None]
