@@ -1,22 +1,27 @@
 """Problem 2: records of evaluation splits that occur again in the training split.
 
-A record's checksum and hash are texts of 64 hex digits. Equal ones are joined
-by equality; near hashes by 13 blocks at fixed places, one of which is equal for
-hashes up to 12 bits apart, and by one exact comparison. This replaces the named
-suffix array: no suffixes are sorted, and digests need none. Tiles are
-cut from one figure, so there the shared span is the path up to the panel, and
-coverage is the shared part of the window.
+A record's hash is a text of 256 bits. In each of 19 arrangements of its blocks
+(see `bits`) it is one suffix; the suffixes are bucketed by their first 25 bits,
+sorted inside the bucket and compared with the neighbour before them: the common
+prefix is measured, and a run of neighbours that holds both sides of the split
+is a set of shared spans. The spans of a pair are merged over all arrangements,
+and the exact distance decides. A digest is one suffix whose common prefix must
+be the whole text. Tiles are cut from one figure, so there the shared span is
+the path up to the panel, and coverage is the shared part of the window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granulate.functions import bits, normalise
+from granulate.functions import normalise
+from granulate.llm import bits
+from granulate.session import cut
 
 RADIUS = 12
 CELL = 1024
+RUN = 4096  # pairs in a run from which it is cut finer before any pair is made
 TILE_NAME = r"^(.+?)(?:[ _-]panel[ _-]([a-z0-9]+))?[ _-]tile((?:[ _-][xy]\d+)+).*$"
 
 
@@ -31,43 +36,78 @@ def image_rows(images: DataFrame) -> DataFrame:
 
 
 def suffixes(hashes: DataFrame) -> DataFrame:
-    """Block keys of the hashes, 13 each: key (block number and content), pivot row and hash id."""
+    """Arranged suffixes, 19 a hash: key (arrangement and first bits), next (the bits after), pivot row and hash id."""
     w = hashes.withColumn("w", bits.words(F.col("hash")))
     return w.select(
-        F.explode(bits.block_keys(F.col("hash"))).alias("key"),
+        F.inline(bits.arranged(F.col("w"))),
         bits.pivot_distances(F.col("w")).alias("piv"),
         F.xxhash64("hash").alias("hid"),
         *[c for c in hashes.columns if c != "hash"],
     )
 
 
+def runs(sorted_: DataFrame) -> DataFrame:
+    """Suffixes in runs that hold both sides, with the number of pairs of the run.
+
+    `sorted_` holds key, next, hid, side (bit 1: left, bit 2: right) and more. Suffixes
+    are sorted inside the bucket of their key and each is compared with the one before it.
+    """
+    w = Window.partitionBy("key")
+    joint = F.lag("side").over(w.orderBy("next", "hid")).bitwiseOR(F.col("side"))
+    # A run holds both sides if two neighbours in it do together.
+    return (
+        sorted_.select("*", joint.alias("joint")).select(
+            "*", F.max("joint").over(w).alias("sides"),
+            (F.sum(F.col("side").bitwiseAND(1)).over(w) * F.sum(F.shiftright("side", 1).bitwiseAND(1)).over(w)).alias("pairs"),
+        )
+        .where("sides = 3").drop("sides", "joint")
+    )
+
+
+def shared_spans(suffix_rows: DataFrame, words: DataFrame, radius: int) -> DataFrame:
+    """ha, hb, prefix (bits of the longest common prefix), spans (blocks of the merged spans): pairs of a left and a right hash in one run whose pivots allow `radius`.
+
+    `words` holds hid and w (the words of the hash). A run of many pairs, such as that of pictures with the same
+    plain parts, is cut finer twice by 13 more blocks, of which a near pair
+    shares one; so no pair is lost, and only pairs that agree in four blocks are
+    compared there.
+    """
+    found = cut(runs(suffix_rows).select("key", "next", "piv", "hid", "side", "pairs", bits.mask(F.col("key")).alias("seen")))
+    crowded = found.where(F.col("pairs") > RUN)
+    parts = [found.where(F.col("pairs") <= RUN).select("key", "next", "piv", "hid", "side", "seen")]
+    if not crowded.isEmpty():
+        rows = crowded.join(words, "hid")
+        for _ in range(2):
+            rows = rows.select("hid", "w", "next", "piv", "side", "seen", F.explode(bits.finer(F.col("key"), F.col("w"), F.col("seen"))).alias("f")).select(
+                "hid", "w", "next", "piv", "side", F.col("seen").bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("f.b"))).alias("seen"), F.col("f.key").alias("key")
+            )
+        parts.append(rows.select("key", "next", "piv", "hid", "side", "seen"))
+    out = None
+    for p in parts:
+        a = p.where("side & 1 != 0").select("key", "seen", F.col("next").alias("na"), F.col("piv").alias("pa"), F.col("hid").alias("ha"))
+        b = p.where("side & 2 != 0").select("key", F.col("next").alias("nb"), F.col("piv").alias("pb"), F.col("hid").alias("hb"))
+        pairs = a.join(b, "key").where((F.col("ha") != F.col("hb")) & (bits.pivot_bound(F.col("pa"), F.col("pb")) <= radius)).select("ha", "hb", "seen", F.col("na").bitwiseXOR(F.col("nb")).alias("ext"))
+        out = pairs if out is None else out.unionByName(pairs)
+    prefix = 25 + F.when(F.col("ext") == 0, bits.NEXT).otherwise(bits.NEXT - F.length(F.bin("ext")))
+    return out.groupBy("ha", "hb").agg(F.max(prefix).alias("prefix"), F.bit_count(F.bit_or("seen")).alias("spans"))
+
+
 def near_hashes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(train_hash, eval_hash, bits) for different hashes at most `radius` <= 12 bits apart.
+    """(train_hash, eval_hash, prefix, spans, bits) for different hashes at most `radius` <= 12 bits apart.
 
     Exact copies are folded first, so a group of copies costs one suffix set.
     """
     if radius > RADIUS:
-        raise ValueError("13 blocks guarantee a shared span up to a radius of 12")
-    hashes = rows.where("hash is not null").groupBy("hash").agg(
-        F.bit_or(F.when(F.col("train"), 1).otherwise(2)).alias("sides")
-    )
-    t, e = hashes.where("sides & 1 != 0"), hashes.where("sides & 2 != 0")
-    a = suffixes(t.select("hash")).select("key", F.col("piv").alias("pa"), F.col("hid").alias("ha"))
-    b = suffixes(e.select("hash")).select("key", F.col("piv").alias("pb"), F.col("hid").alias("hb"))
-    close = (
-        a.join(b, "key")
-        .where((F.col("ha") != F.col("hb")) & (bits.pivot_bound(F.col("pa"), F.col("pb")) <= radius))
-        .select("ha", "hb")
-        .distinct()
-    )
-    ta = t.select(F.xxhash64("hash").alias("ha"), F.col("hash").alias("train_hash"))
-    tb = e.select(F.xxhash64("hash").alias("hb"), F.col("hash").alias("eval_hash"))
+        raise ValueError("20 blocks guarantee a shared span up to a radius of 12")
+    hashes = cut(rows.where("hash is not null").groupBy("hash").agg(F.bit_or(F.when(F.col("train"), 1).otherwise(2)).alias("side")))
+    words = hashes.select(F.xxhash64("hash").alias("hid"), bits.words(F.col("hash")).alias("w"))
+    close = shared_spans(suffixes(hashes), words, radius)
+    texts = hashes.select(F.xxhash64("hash").alias("hid"), "hash")
     return (
-        close.join(ta, "ha")
-        .join(tb, "hb")
+        close.join(texts.select(F.col("hid").alias("ha"), F.col("hash").alias("train_hash")), "ha")
+        .join(texts.select(F.col("hid").alias("hb"), F.col("hash").alias("eval_hash")), "hb")
         .select(
-            "train_hash",
-            "eval_hash",
+            "train_hash", "eval_hash", "prefix", "spans",
             bits.distance(bits.words(F.col("train_hash")), bits.words(F.col("eval_hash"))).alias("bits"),
         )
         .where((F.col("bits") <= radius) & (F.col("train_hash") != F.col("eval_hash")))
@@ -80,7 +120,7 @@ def image_overlaps(images: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows without a split, digest or hash (NULL, blank, placeholder) are in no
     pair by that field. Repeated rows each count. An empty table gives no rows.
     """
-    rows = image_rows(images)
+    rows = cut(image_rows(images))  # thin, and read five times below
     t, e = rows.where("train"), rows.where("not train")
     same_digest = (
         t.where("digest is not null").select("digest", F.col("row_no").alias("train_key"))

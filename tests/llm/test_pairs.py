@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from granulate.functions import bits, normalise
-from granulate.llm import crosssplit, history
+from granulate.functions import normalise
+from granulate.llm import bits, crosssplit, history
 from pyspark.sql import functions as F
 
 EMPTY = normalise.EMPTY_SHA256
@@ -143,3 +143,32 @@ def test_history(images, spark, tmp_path):
         each |= {r.record_no for r in h.known(batch).collect()}
         h.append(batch, str(b))
     assert each == want
+
+
+def test_crowded_runs_are_cut_finer_and_lose_nothing(images, monkeypatch):
+    """Hashes that share most of their blocks, as pictures with plain parts do."""
+    rng = random.Random(3)
+    base = _hash(rng)
+    rows = []
+    for i in range(160):
+        h = base[:40] + _hash(rng)[40:] if i % 2 else _flip(base, rng.randrange(0, 16), rng)
+        rows.append({"row_no": i, "split": rng.choice(["train", "val", "test"]), "ahash": h})
+    want = {(a["row_no"], b["row_no"]) for a in rows for b in rows if a["row_no"] < b["row_no"] and (a["split"] == "train") != (b["split"] == "train") and _ham(a["ahash"], b["ahash"]) <= 12}
+    for run in (4096, 0):
+        monkeypatch.setattr(crosssplit, "RUN", run)
+        got = [(r.key_a, r.key_b) for r in crosssplit.image_overlaps(images(*rows)).select(F.least("train_key", "eval_key").alias("key_a"), F.greatest("train_key", "eval_key").alias("key_b")).collect()]
+        assert want and len(got) == len(set(got)) and set(got) == want
+    near = crosssplit.near_hashes(crosssplit.image_rows(images(*rows))).collect()
+    assert near and all(r["prefix"] >= 25 and r["spans"] >= 2 for r in near)
+
+
+def test_a_small_batch_reads_only_its_key_ranges(images, spark, tmp_path):
+    old = _rows(200, 21)
+    h = history.History(spark, str(tmp_path))
+    assert h.known(history.incoming(spark.createDataFrame([], "record_no long, batch_no int, image_id string, source_url string, file_sha256 string, ahash string"))).count() == 0
+    h.append(history.accepted(images(*old)), "0")
+    one = spark.createDataFrame([(_hash(random.Random(1)),)], "hash string")
+    mine = crosssplit.suffixes(one)
+    part = h.stored("pivots", mine)
+    assert "slot" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert 0 < part.count() < h.stored("pivots").count()
