@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 # Frequent function words by language.
 COMMON = {
@@ -35,17 +36,22 @@ BREAK = re.compile(r"\r\n|[\n\r\f\v\u2028\u2029]")
 MARK = re.compile(r"[^\w\s]|_")
 DIGIT = re.compile(r"\d")
 CLOSED = re.compile(r"[.!?…:;][\"”»')\]]*$")
-VOWELS = frozenset("aeiouyäöüàáâãåæèéêëìíîïòóôõøùúûýœ")
+VOWEL = re.compile("[aeiouyäöüàáâãåæèéêëìíîïòóôõøùúûýœ]")
+TORN = re.compile(r"[^\W\d_][^\w\s'’\-–./,:()&;·][^\W\d_]")
 
 
-def common_share(words: list[str]) -> tuple[float, str]:
-    """Largest share of one language's function words, and that language."""
-    hits = dict.fromkeys(LANGS, 0)
-    for w in words:
+def spoken(words: list[str]) -> Counter:
+    """How many of the words are function words, by language."""
+    hits: Counter = Counter()
+    for w, n in Counter(words).items():
         for k in SPOKEN.get(w, ()):
-            hits[k] += 1
-    lang = max(hits, key=hits.get)
-    return (hits[lang] / len(words), lang) if words and hits[lang] else (0.0, "und")
+            hits[k] += n
+    return hits
+
+
+def common_share(hits: Counter, n: int) -> float:
+    """Largest share of one language's function words among `n` words."""
+    return max(hits.values()) / n if hits else 0.0
 
 
 def _delimited(line: str) -> tuple[str, int] | None:
@@ -98,37 +104,32 @@ def _leader(line: str) -> bool:
 def _junk_line(line: str, words: list[str], share: float) -> bool:
     t = line.strip()
     n = max(1, len(t))
-    letters = sum(map(len, words))
     if CODE.search(t) and share < 0.15:
         return True
     if len(MOJIBAKE.findall(t)) * 12 > n:
         return True
-    if sum(not (c.isalnum() or c.isspace()) for c in t) > 0.3 * n and n >= 20 and letters < 0.6 * n:
+    if n >= 20 and sum(map(len, words)) < 0.6 * n and len(MARK.findall(t)) > 0.3 * n:
         return True
-    if any(len(w) > 40 for w in t.split()) and max(map(len, t.split())) > 0.5 * n and not t.startswith(("http", "www")):
+    if n > 40 and (longest := max(map(len, t.split()))) > 40 and longest > 0.5 * n and not t.startswith(("http", "www")):
         return True
-    if n >= 20 and len(re.findall(r"[^\W\d_][^\w\s'’\-–./,:()&;·][^\W\d_]", t)) * 25 > n:
+    if n >= 20 and len(TORN.findall(t)) * 25 > n:
         return True
     if words and sum(w in FURNITURE for w in words) >= 0.8 * len(words):
         return True
     if len(words) >= 6:
-        odd = sum(len(w) > 3 and sum(c in VOWELS for c in w) / len(w) < 0.2 for w in words) / len(words)
-        if odd > 0.25 and share < 0.05:
+        if share < 0.05 and sum(len(w) > 3 and len(VOWEL.findall(w)) < 0.2 * len(w) for w in words) > 0.25 * len(words):
             return True
         if len(set(words)) <= 0.25 * len(words) and len(words) >= 12:
             return True
     return False
 
 
-def lines_by_form(text: str) -> dict[str, int]:
-    """Characters of the text in prose, list, table and junk lines."""
-    lines = [x for x in BREAK.split(text) if x.strip()]
+def lines_by_form(lines: list[str], parsed: list[list[str]], shares: list[float]) -> dict[str, int]:
+    """Characters of the text in prose, list, table and junk lines; `parsed` holds the words of each, `shares` those of function words."""
     out = {"prose": 0, "list": 0, "table": 0, "junk": 0}
     table = _tables(lines)
-    parsed = [[w.lower() for w in WORD.findall(x)] for x in lines]
     kinds: list[str] = []
-    for i, (line, words) in enumerate(zip(lines, parsed, strict=True)):
-        share, _ = common_share(words)
+    for i, (line, words, share) in enumerate(zip(lines, parsed, shares, strict=True)):
         t = line.strip()
         if table[i]:
             kind = "table"
@@ -157,8 +158,7 @@ def lines_by_form(text: str) -> dict[str, int]:
             a = next((kinds[k] for k in range(i - 1, -1, -1) if kinds[k] != "short"), None)
             b = next((kinds[k] for k in range(i + 1, len(kinds)) if kinds[k] != "short"), None)
             run = sum(1 for k in range(max(0, i - 2), min(len(kinds), i + 3)) if kinds[k] in ("short", "list"))
-            share, _ = common_share(parsed[i])
-            kind = "prose" if (share >= 0.12 or SENTENCE.search(lines[i].strip())) and "prose" in (a, b) else "list" if run >= 3 else ("prose" if "prose" in (a, b) else b or a or "list")
+            kind = "prose" if (shares[i] >= 0.12 or SENTENCE.search(lines[i].strip())) and "prose" in (a, b) else "list" if run >= 3 else ("prose" if "prose" in (a, b) else b or a or "list")
         out[kind] += len(lines[i].strip())
     return out
 
@@ -170,25 +170,33 @@ def form_of(by: dict[str, int]) -> str:
         return "junk"
     if by["prose"] * 2 >= total:
         return "prose"
-    return max(("table", "list", "junk"), key=lambda k: by[k])
+    return other_form(by)
+
+
+def other_form(by: dict[str, int]) -> str:
+    """The form, other than prose, of most characters; junk if there are none."""
+    best = max(("table", "list", "junk"), key=lambda k: by[k])
+    return best if by[best] else "junk"
 
 
 def statistics(text: str) -> dict[str, float | str]:
-    """Figures of a text, and its form; every figure of an empty text is 0."""
-    words = [w.lower() for w in WORD.findall(text)]
-    lines = [x.strip() for x in BREAK.split(text) if x.strip()]
-    n = max(1, len(text))
-    marks = len(MARK.findall(text))
-    by = lines_by_form(text)
+    """Figures of a text, the form of most of its lines, and the form it has if it is not prose; every figure of an empty text is 0."""
+    raw = [x for x in BREAK.split(text) if x.strip()]
+    parsed = [[w.lower() for w in WORD.findall(x)] for x in raw]
+    hits = [spoken(words) for words in parsed]
+    words = [w for x in parsed for w in x]
+    n, chars = max(1, len(text)), max(1, sum(map(len, raw)))
+    by = lines_by_form(raw, parsed, [common_share(h, len(w)) for h, w in zip(hits, parsed, strict=True)])
     return {
         "words": float(len(words)),
         "mean_word": sum(map(len, words)) / max(1, len(words)),
-        "symbols": marks / n,
+        "symbols": len(MARK.findall(text)) / n,
         "digits": len(DIGIT.findall(text)) / n,
-        "closed_lines": sum(bool(CLOSED.search(x)) for x in lines) / max(1, len(lines)),
-        "common": common_share(words)[0],
+        "closed_lines": sum(bool(CLOSED.search(x.strip())) for x in raw) / max(1, len(raw)),
+        "common": common_share(spoken(words), len(words)),
         "distinct": len(set(words)) / max(1, len(words)) ** 0.8,
         "sentence_words": len(words) / max(1, len(SENTENCE.findall(text))),
-        "not_prose": 1 - by["prose"] / max(1, sum(by.values())),
+        "marked": sum(len(x) for x in raw if BULLET.match(x)) / chars,
         "form": form_of(by),
+        "other": other_form(by),
     }

@@ -1,5 +1,6 @@
 """Problems 7, 8 and 9."""
 
+import math
 import random
 
 import numpy as np
@@ -118,7 +119,7 @@ FORMS = {
 
 @pytest.mark.parametrize("form", FORMS)
 def test_forms(form):
-    assert [textform.form_of(textform.lines_by_form(t)) for t in FORMS[form]] == [form] * len(FORMS[form])
+    assert [textform.statistics(t)["form"] for t in FORMS[form]] == [form] * len(FORMS[form])
 
 
 def test_found_forms(docs):
@@ -144,8 +145,32 @@ def test_found_forms_that_many_share(docs):
 
 def test_ranks_are_exact(spark):
     rng = random.Random(9)
-    rows = [(rng.choice("ab"), rng.choice("xy"), float(rng.choice([0, 0, 0, rng.randrange(50)]))) for _ in range(2000)]
-    got = {(r.grp, r.stat, r.value): (r.below, r.n, r.total) for r in quality.ranks(spark.createDataFrame(rows, "grp string, stat string, value double")).collect()}
-    for g, s, v in set(rows):
-        same = [x for a, b, x in rows if (a, b) == (g, s)]
+    rows = [(rng.choice("ab"), rng.choice("xy"), float(rng.choice([0, 0, 0, rng.randrange(50)])), rng.choice([0, 1])) for _ in range(2000)]
+    got = {(r.grp, r.stat, r.value): (r.upto, r.n, r.total) for r in quality.ranks(spark.createDataFrame(rows, "grp string, stat string, value double, ref int").repartition(5)).collect()}
+    for g, s, v in {r[:3] for r in rows}:
+        same = [x for a, b, x, ref in rows if (a, b) == (g, s) and ref]
         assert got[g, s, v] == (sum(x <= v for x in same), same.count(v), len(same))
+
+
+def test_scores_are_the_tails_against_distinct_prose(docs):
+    """Brute force of the score over a language of three documents, a large one, copies and other forms."""
+    rng = random.Random(4)
+    rows = [(i, PROSE + f" It was run {rng.randrange(9999)} of the day" + rng.choice([".", "", ", they say."]) * (i % 3), "en", "s") for i in range(80)]
+    rows += [(100 + i, f"Die Proben wurden gewaschen und bei {i} °C getrocknet, weil die Hülle nicht dicht war.", "de", "s") for i in range(3)]
+    rows += [(200 + i, rows[0][1], "en", "s") for i in range(40)] + [(300 + i, t, "en", "s") for i, t in enumerate(FORMS["list"] + FORMS["junk"])]
+    stats = {i: textform.statistics(t) | {"lang": lang, "text": t} for i, t, lang, _ in rows}
+    prose = {(s["lang"], s["text"]): s for s in stats.values() if s["form"] == "prose"}.values()
+
+    def score(s):
+        total = 0.0
+        for k in quality.STATS:
+            own, every = [p[k] for p in prose if p["lang"] == s["lang"]], [p[k] for p in prose]
+            tail = lambda f: (sum(map(f, own)) + quality.WEIGHT * (sum(map(f, every)) + 1) / (len(every) + 1)) / (len(own) + quality.WEIGHT)  # noqa: B023, E731
+            total -= math.log(min(1, 2 * min(tail(lambda x: x <= s[k]), tail(lambda x: x >= s[k]))))
+        return total
+
+    got = {r.doc_id: r for r in quality.scored(docs(*rows)).collect()}
+    want = {i: score(s) for i, s in stats.items()}
+    assert got.keys() == want.keys() and all(abs(got[i].score - want[i]) < 1e-5 for i in want)
+    per = sorted(score(p) for p in prose)
+    assert all(abs(got[i].tail - sum(x >= want[i] - 1e-6 for x in per) / len(per)) < 1e-9 for i in want)
