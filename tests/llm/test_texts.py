@@ -41,7 +41,7 @@ def test_leaks_match_brute_force(spark, docs):
     assert leakage.found(docs(*texts), _items(spark, [])).count() == 0 and leakage.found(docs(), _items(spark, items)).count() == 0
 
 
-def test_blocks_guarantee_the_radius(spark, monkeypatch, docs):
+def test_blocks_guarantee_the_radius():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
     for r in (1, 2, 3):
@@ -49,10 +49,38 @@ def test_blocks_guarantee_the_radius(spark, monkeypatch, docs):
         for _ in range(r):
             b ^= np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)
         assert (np.array([x == y for x, y in zip(leakage.blocks(a, r), leakage.blocks(b, r), strict=True)]).any(axis=0)).all()
-    # Beyond the bound for the items' blocks the windows are joined instead, with the same result.
+
+
+def test_fingerprints_are_majorities():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    for window in (1, 5, 12, 16, 31):
+        want = [sum(1 << b for b in range(64) if sum(int(x) >> b & 1 for x in h[i : i + window]) > window // 2) for i in range(len(h) - window + 1)]
+        # Bytes of a hash are unpacked in memory order, so only the places of the bits differ.
+        got = [int.from_bytes(int(x).to_bytes(8, "little"), "little") for x in leakage.fingerprints(h, window)]
+        assert got == want
+
+
+def test_windows_are_verified_by_their_shingles(spark, docs):
     text = " ".join(f"t{i}" for i in range(40))
-    monkeypatch.setattr(leakage, "ITEM_WINDOWS", 1)
-    assert leakage.found(docs((1, text, "en", "s"), (2, "x " * 30, "en", "s")), _items(spark, [(5, text)])).count() == 1
+    w = text.split()
+    shuffled = " ".join([*w[6:12], *w[:6]])  # the words of a window in another order: the same fingerprint
+    near = " ".join(w[:39] + ["other"])
+    rows = [(1, text, "en", "s"), (2, "x " * 30, "en", "s"), (3, shuffled, "en", "s"), (4, f"{shuffled} and {' '.join(w[:12])}", "en", "s"), (5, f"so {near} end", "en", "s")]
+    got = {r.doc_id: (r.leaked, r.similarity) for r in leakage.leaks(docs(*rows), _items(spark, [(5, text)])).collect()}
+    assert got.keys() == {1, 4, 5} and got[1] == (40, 1.0) and got[4][0] == 12 and got[4][1] < 0.8 and got[5][0] == 39 and 0.8 <= got[5][1] < 1
+    assert [tuple(r) for r in leakage.leaked_items(docs(*rows), _items(spark, [(5, text)])).select("n_docs", "near_copies").collect()] == [(3, 2)]
+    assert leakage.verified(w, w, [(0, 3)]) is None and leakage.verified(w, w, [(3, 3)]) == 1.0
+
+
+def test_near_copies_hold_a_window():
+    """Five-word shingles 0.8 alike leave 12 equal words in a row, whatever words are changed."""
+    rng = random.Random(7)
+    for _ in range(3000):
+        item = [f"w{i}" for i in range(rng.randrange(12, 90))]
+        copy = [rng.choice(["x", w]) if rng.random() < 0.06 else w for w in item]
+        if leakage.similarity(copy, item) >= leakage.SIMILARITY:
+            assert leakage.passages(copy, item) >= 12
 
 
 def test_knapsack():
