@@ -1,11 +1,12 @@
 """Problem 1: texts cut off by field limits or broken transfers.
 
 A stack automaton reads every text and reports what is left open at its end:
-brackets, quotes, markup, an escape or a multibyte sequence broken off. What no
-structure tells, the corpus does: over all texts it is counted how often the
-last tokens of a text are followed by a terminator and how often by more text
-inside other texts. Each site's share of unterminated whole texts and the length
-at which its texts pile up (the field limit) decide the rest.
+brackets, quotes, markup, an escape or a multibyte sequence broken off. A text
+without a terminator is judged by its site's baseline: the odds that such a text
+there is a cut one rather than a whole one. Where sites leave both possible, the
+whole collection tells how often the last tokens of the text are followed by a
+terminator and how often by more text; that likelihood ratio times the site's
+odds decides. The lengths at which a site's texts pile up (field limits) decide the rest.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from granulate.session import cut, spread
 
 ORDERS = (4, 2, 1)  # context lengths, the longest known one speaks
 KNOWN = 3  # times a context must occur inside texts to be known
-WHOLE = 0.15  # share of ends among a context's occurrences from which a text may end there
+CLEAR = 0.02  # share of ends among a context's occurrences up to which a text clearly does not end there
+WHOLE = 0.5  # share from which it may clearly end there
+SURE = 200.0  # odds that a clear context gives
 FLUSH = 400_000  # contexts a task holds before it passes them on
 
 # Bracket pairs, quote pairs, terminators and marks that say "more follows".
@@ -34,11 +37,13 @@ ELLIPSES = ("...", "…", "[..]", "[…]")
 
 TOKEN = re.compile(r"[A-Za-z]?\d+(?:[.,]\d+)*[a-z]?|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]|_")
 BROKEN_END = re.compile(
-    "�"  # a multibyte sequence that could not be decoded
+    "(?:�"  # a multibyte sequence that could not be decoded
     r"|&(?:#[0-9]{0,7}|#[xX][0-9a-fA-F]{0,6}|[A-Za-z][A-Za-z0-9]{1,7})?"  # an entity without its semicolon
-    r"|(?<![\d\s])%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?"  # an escape
-    r"|<[/!]?(?:[A-Za-z][^<>]*)?"  # a tag
+    r"|(?<![\d\s])%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?)\Z"  # an escape
 )
+LONGEST = 12  # characters that such an end has at most
+BROKEN_TAG = re.compile(r"<[/!]?(?:[A-Za-z][^<>]*)?\Z")
+STACKED = re.compile("[()\\[\\]{}“”«»\"]")
 TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "wbr"}
 
@@ -56,9 +61,8 @@ def tokens(text: str) -> list[str]:
 def left_open(text: str) -> bool:
     """Whether the automaton ends with something unclosed or broken off."""
     end = text.rstrip()
-    for m in BROKEN_END.finditer(end, max(0, len(end) - 300)):
-        if m.end() == len(end):
-            return True
+    if BROKEN_END.search(end, max(0, len(end) - LONGEST)) or (at := end.rfind("<")) >= 0 and BROKEN_TAG.match(end, at):
+        return True
     stack: list[str] = []
     for m in TAG.finditer(text):
         name = m.group(2).lower()
@@ -69,7 +73,8 @@ def left_open(text: str) -> bool:
             stack.append(name)
     if stack:
         return True
-    for i, ch in enumerate(text):
+    for m in STACKED.finditer(text):
+        i, ch = m.start(), m.group()
         if ch in "([{“«":
             stack.append(ch)
         elif ch in PAIRS:
@@ -178,34 +183,40 @@ def with_site(images: DataFrame, sources: DataFrame) -> DataFrame:
 def judged(captions: DataFrame) -> DataFrame:
     """row_no, site, cut (boolean) and why for every caption.
 
+    why: structure, missing terminator (unterminated at a site whose unterminated texts are mostly cut), text goes on
+    (unterminated elsewhere, by its last tokens), abbreviation goes on (terminated where no sentence ends), field limit.
     A NULL site is a site of its own. Blank captions are not rows of `captions`.
     """
-    ends = cut(endings(captions))  # read four times below
-    counts = context_counts(captions, "caption")
+    ends = cut(endings(captions))  # read several times below
+    counts = cut(context_counts(captions, "caption"))
     keys = ends.select("c0", "c1", "c2").distinct()
     long = keys.select("c0", "c1", "c2", F.posexplode(F.array("c0", "c1", "c2")).alias("o", "ctx")).where("ctx != 0")
     known = (
         long.join(counts, "ctx")
         .groupBy("c0", "c1", "c2")
-        .agg(
-            F.min_by(F.struct("ends", "goes", "o"), F.when(F.col("ends") + F.col("goes") >= KNOWN, F.col("o"))).alias("best"),
-            F.max(F.when(F.col("o") == 2, F.col("ends") + F.col("goes"))).alias("seen"),
-        )
-        .select("c0", "c1", "c2", "seen", (F.col("best.ends") / (F.col("best.ends") + F.col("best.goes"))).alias("p"), (F.col("best.ends") + F.col("best.goes")).alias("n"))
+        .agg(F.min_by(F.struct("ends", "goes"), F.when(F.col("ends") + F.col("goes") >= KNOWN, F.col("o"))).alias("best"))
+        .select("c0", "c1", "c2", "best.*", (F.col("best.ends") / (F.col("best.ends") + F.col("best.goes"))).alias("p"))
     )
-    rows = ends.join(known, ["c0", "c1", "c2"], "left").select(
-        "row_no", "site", "chars", "bytes", "gap", "open", "term",
-        # Unterminated: no known context, or one that mostly goes on. Terminated: a dot that never ends a sentence there.
-        F.when(F.col("term"), F.coalesce((F.col("p") < 0.02) & (F.col("n") >= 20), F.lit(False)))
-        .otherwise(F.col("stub") | F.coalesce(F.col("p") < WHOLE, F.lit(True)))
+    total = counts.agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes")).first()
+    usual = (total["ends"] or 1) / max(total["goes"] or 1, 1)
+    bare = ~F.col("term") & ~F.col("open")
+    # No known context is clear too: words broken off are seen nowhere else.
+    clear = F.coalesce(F.col("p") <= CLEAR, F.lit(True)) | F.col("stub")
+    odds = F.when(clear, SURE).otherwise(F.col("goes") / F.greatest("ends", F.lit(1)) * usual)
+    marked = ends.join(known, ["c0", "c1", "c2"], "left").select("*", F.coalesce("site", F.lit("")).alias("at"), (bare & clear).alias("seems_cut"), (bare & ~clear & (F.col("p") >= WHOLE)).alias("seems_whole"), odds.alias("odds"))
+    rows = marked.join(baselines(marked), "at").select(
+        "row_no", "site", "chars", "bytes", "gap", "open", "term", "baseline",
+        # Unterminated: the site's odds times those of the context. Terminated: a dot that never ends a sentence there.
+        F.when(F.col("term"), F.coalesce((F.col("p") < CLEAR) & (F.col("ends") + F.col("goes") >= 20), F.lit(False)))
+        .otherwise(F.col("stub") | (F.col("baseline") * F.col("odds") > 1))
         .alias("goes_on"),
     )
     limits = field_limits(rows).withColumnsRenamed({"unit": "lunit", "size": "lsize"})
     at = F.col("site").eqNullSafe(F.col("lsite")) & (F.col("unit") == F.col("lunit")) & (F.col("size") == F.col("lsize"))
-    here = sized(rows, "row_no", "open", "gap").join(limits, at, "left")
+    here = sized(rows, "row_no", "open", "gap", "baseline").join(limits, at, "left")
     why = (
         F.when(F.col("open"), "structure")
-        .when(F.col("goes_on"), F.when(F.col("term"), "abbreviation goes on").otherwise("text goes on"))
+        .when(F.col("goes_on"), F.when(F.col("term"), "abbreviation goes on").when(F.col("baseline") > 1, "missing terminator").otherwise("text goes on"))
         .when(F.col("lsize").isNotNull() & (F.col("gap") | (~F.col("term") & F.col("cut_ends"))), "field limit")
     )
     return (
@@ -214,6 +225,11 @@ def judged(captions: DataFrame) -> DataFrame:
     )
 
 
+def baselines(marked: DataFrame) -> DataFrame:
+    """at (site, blank for NULL) and baseline: odds that an unterminated text of the site is cut, from those that are clearly cut or whole."""
+    return marked.groupBy("at").agg(((F.count_if("seems_cut") + 1) / (F.count_if("seems_whole") + 1)).alias("baseline"))
+
+
 def sized(rows: DataFrame, *more: str) -> DataFrame:
     """site, goes_on, term and `more` of every row, once for its size in chars and once for that in bytes."""
     units = F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))

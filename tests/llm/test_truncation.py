@@ -8,6 +8,7 @@ def test_left_open_and_tokens():
     whole = ["a (b) c", 'he "said" no', "x <i>y</i>", "salt &amp; pepper", "about 48%", "(a) Panel", "5\" wide", "", "a<br>b"]
     assert all(t.left_open(x) for x in cut)
     assert not any(t.left_open(x) for x in whole)
+    assert t.left_open("The rods <a href='" + "x" * 5000) and not t.left_open("a < b " + "x" * 5000)
     assert t.tokens("Sample V49, 3.5 nm") == ["Sample", "X#", ",", "#", "nm"]
 
 
@@ -76,3 +77,23 @@ def test_second_limit_of_a_site(images, sources):
     cuts = [{"row_no": 500 + n, "source_url": "https://b.example", "caption": f"Note {'x' * (n % 4)}. {text}"[:limit]} for n, limit in enumerate([60] * 40 + [100] * 30)]
     ends = [{"row_no": 700 + i, "source_url": "https://b.example", "caption": "Arrows mark missing cores near the rim".rjust(n - 1, "x") + " "} for i, n in enumerate((60, 100, 90))]
     assert {r.row_no for r in t.found(images(*whole, *cuts, *ends), sources()).where("row_no >= 700").collect()} == {700, 701}
+
+
+def test_the_site_baseline_decides(images, sources, spark):
+    """The same unterminated text is cut where unterminated texts are mostly cut, and whole where they are mostly whole."""
+    rows, n = [], 0
+    def put(site, caption, times=1):
+        nonlocal n
+        for _ in range(times):
+            rows.append({"row_no": (n := n + 1), "source_url": f"https://{site}.example", "caption": caption})
+    put("tidy", "Gold rods on a film near the rim. Arrows mark missing cores.", 60)
+    put("tidy", "Gold rods on a film near the rim. Arrows mark mis", 30)
+    put("loose", "Missing cores near the rim", 30)
+    put("loose", "Gold rods on a film. Silver.", 8)
+    first = n
+    put("tidy", "Gold rods on a film")
+    put("loose", "Gold rods on a film")
+    why = {r.row_no: r.why for r in t.judged(t.with_site(images(*rows), sources())).where(f"row_no > {first}").collect()}
+    assert why == {first + 1: "missing terminator", first + 2: None}
+    marked = spark.createDataFrame([("a", True, False)] * 9 + [("a", False, True)] + [("b", False, True)] * 3 + [("b", False, False)], "at string, seems_cut boolean, seems_whole boolean")
+    assert {r["at"]: r.baseline for r in t.baselines(marked).collect()} == {"a": 5.0, "b": 0.25}
