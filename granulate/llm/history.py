@@ -90,7 +90,7 @@ class History:
     """The accepted history on disk, to which batches are appended; no batch rereads raw history.
 
     `path` lies in shared storage. keys/ holds (k, lo), pivots/ the arranged
-    suffixes of every hash with its distances to the pivots (key, next, piv, hid),
+    suffixes of every hash with its distances to the pivots (key, piv, hid),
     hashes/ (hash, lo). Each is one folder a batch and key range (slot), sorted
     by key, so a batch reads only the ranges its own keys lie in.
     """
@@ -98,7 +98,7 @@ class History:
     TABLES = {
         "keys": ("slot int, k binary, lo struct<b:int,r:bigint>", lambda: key_slot(F.col("k")), "k"),
         "hashes": ("slot int, hash string, lo struct<b:int,r:bigint>", lambda: hash_slot(F.col("hash")), "hash"),
-        "pivots": ("slot int, key bigint, next bigint, piv bigint, hid bigint", lambda: slot(F.col("key")), "key"),
+        "pivots": ("slot int, key bigint, piv bigint, hid bigint", lambda: slot(F.col("key")), "key"),
     }
 
     def __init__(self, spark: SparkSession, path: str):
@@ -106,17 +106,17 @@ class History:
 
     def _write(self, table: str, rows: DataFrame, name: str) -> None:
         _, at, by = self.TABLES[table]
-        # One file a range and batch; ranges of a large batch are cut further by key.
-        rows.withColumn("slot", at()).repartitionByRange("slot", by).sortWithinPartitions("slot", by).write.mode("overwrite").partitionBy("slot").parquet(
+        # One file a range and batch; adaptive execution cuts the ranges of a large batch into several.
+        rows.withColumn("slot", at()).hint("rebalance", "slot").sortWithinPartitions("slot", by).write.mode("overwrite").partitionBy("slot").parquet(
             f"{self.path}/{table}/batch={name}"
         )
 
     def append(self, rows: DataFrame, name: str) -> None:
         """Write the rows' keys, pivot rows and hashes under `name`; repeating a name replaces it."""
-        hashes = cut(hash_rows(rows).select("hash", "lo"))
+        hashes = cut(hash_rows(rows).select("hash", "lo", bits.words(F.col("hash")).alias("w")))
         self._write("keys", first_seen(rows), name)
-        self._write("hashes", hashes, name)
-        self._write("pivots", suffixes(hashes.select("hash")), name)
+        self._write("hashes", hashes.select("hash", "lo"), name)
+        self._write("pivots", suffixes(hashes.select("hash", "w")).drop("next"), name)
 
     def stored(self, table: str, mine: DataFrame | None = None) -> DataFrame:
         """A table of the history, of the ranges that the rows `mine` lie in (at most 76 range numbers are listed)."""
@@ -139,7 +139,7 @@ class History:
         """
         if radius > RADIUS:
             raise ValueError("20 blocks guarantee a shared span up to a radius of 12")
-        mine_keys, mine = cut(exact_keys(batch)), cut(hash_rows(batch))
+        mine_keys, mine = cut(exact_keys(batch)), cut(hash_rows(batch).withColumn("w", bits.words(F.col("hash"))))
         seen = mine_keys.groupBy("k").agg(F.min("ord").alias("lo"))
         first = (
             self.stored("keys", seen).join(seen.select("k"), "k", "left_semi").unionByName(seen)
@@ -147,10 +147,8 @@ class History:
         )
         by_key = mine_keys.join(first, "k").where("lo < ord").select("record_no", F.lit("exact").alias("way"))
         # Bit 1: may be what a row of the batch is known by; bit 2: is in the batch.
-        own = cut(suffixes(mine.select("hash")))
-        both = self.stored("pivots", own).withColumn("side", F.lit(1)).unionByName(own.withColumn("side", F.lit(3)))
-        # A hash that history and batch share is one suffix of each run.
-        rows = both.groupBy("key", "hid").agg(F.any_value("next").alias("next"), F.any_value("piv").alias("piv"), F.bit_or("side").alias("side"))
+        own = suffixes(mine.select("hash", "w")).drop("next")
+        rows = self.stored("pivots", own).withColumn("side", F.lit(1)).unionByName(own.withColumn("side", F.lit(3))).withColumn("next", F.lit(0).cast("long"))
         old = self.stored("hashes")
         words = old.select("hash").unionByName(mine.select("hash")).distinct().select(F.xxhash64("hash").alias("hid"), bits.words(F.col("hash")).alias("w"))
         close = shared_spans(rows, words, radius).select(F.col("hb").alias("mine"), F.col("ha").alias("other"))
