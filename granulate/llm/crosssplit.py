@@ -36,13 +36,17 @@ def image_rows(images: DataFrame) -> DataFrame:
 
 
 def suffixes(hashes: DataFrame) -> DataFrame:
-    """Arranged suffixes, 19 a hash: key (arrangement and first bits), next (the bits after), pivot row and hash id."""
-    w = hashes.withColumn("w", bits.words(F.col("hash")))
+    """Arranged suffixes, 19 a hash: key (arrangement and first bits), next (the bits after), pivot row and hash id.
+
+    The words of the hash are taken from `w` if there is such a column (they are
+    named many times, so they should be kept, not worked out anew each time).
+    """
+    w = hashes if "w" in hashes.columns else hashes.withColumn("w", bits.words(F.col("hash")))
     return w.select(
         F.inline(bits.arranged(F.col("w"))),
         bits.pivot_distances(F.col("w")).alias("piv"),
         F.xxhash64("hash").alias("hid"),
-        *[c for c in hashes.columns if c != "hash"],
+        *[c for c in hashes.columns if c not in ("hash", "w")],
     )
 
 
@@ -99,8 +103,8 @@ def near_hashes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius > RADIUS:
         raise ValueError("20 blocks guarantee a shared span up to a radius of 12")
-    hashes = cut(rows.where("hash is not null").groupBy("hash").agg(F.bit_or(F.when(F.col("train"), 1).otherwise(2)).alias("side")))
-    words = hashes.select(F.xxhash64("hash").alias("hid"), bits.words(F.col("hash")).alias("w"))
+    hashes = cut(rows.where("hash is not null").groupBy("hash").agg(F.bit_or(F.when(F.col("train"), 1).otherwise(2)).alias("side")).withColumn("w", bits.words(F.col("hash"))))
+    words = hashes.select(F.xxhash64("hash").alias("hid"), "w")
     close = shared_spans(suffixes(hashes), words, radius)
     texts = hashes.select(F.xxhash64("hash").alias("hid"), "hash")
     return (
