@@ -2,9 +2,10 @@
 
 Line breaks, tabs, bars, dots and semicolons outside quotes always separate;
 quoted spans and JSON lists are atomic. A comma, slash, ampersand or `and` may
-separate or belong to a value. Expectation-maximisation learns from the whole
-column how often each value and each shape of value occurs, and a Viterbi pass
-over the lattice of possible values picks the likeliest split.
+separate or belong to a value. Expectation-maximisation over the lattice of
+possible values learns from the whole column how often each value and each shape
+of value occurs (forward and backward sums give expected counts, until the
+likelihood settles), and a Viterbi pass picks the likeliest split.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from pyspark.sql import functions as F
 from granulate.functions.normalise import TRIM
 from granulate.session import cut
 
-ROUNDS = 2
-JOINED = 4  # possible separators inside one value at most; longer values need quotes or a hard separator
+SETTLED = 1e-3  # relative gain of the log-likelihood below which the fit has settled
+LIKELY = 0.5  # probability from which an arc counts; the crumbs of unlikely splits would add up over a large column
+JOINED = 4  # possible separators up to which every span of a piece may be one value; longer ones must occur as a whole piece or atom in the column
 WORD = 1e-3  # probability of a word of a value that was not seen
 FLOOR = 1e-5  # probability of a shape that was not seen, times INNER for each separator inside it
 INNER = 1e-6
-SHAPES = 4096  # shapes kept on the driver, the most frequent ones
 
 HARD = "\n\r\t;|·•"
 SOFT = re.compile(r"(?<!\s)(?:\s*,\s*(?:and|&)\s+|\s*,\s*|\s+(?:and|&)\s+|\s*/\s*|\s*&\s*)")
+CLOSED = re.compile(rf" *(?:\Z|[{HARD},/&]|and )")  # what may follow a closing quote
 CLOSER = {'"': '"', "“": "”", "«": "»"}
 
 
@@ -87,8 +89,7 @@ def pieces(text: str) -> list[tuple[str, bool]]:
                 else:
                     inner.append(t[j])
                     j += 1
-            tail = t[j + 1 : j + 200].lstrip(" ")
-            if j < len(t) and (not tail or tail[0] in HARD + ",/&" or tail.startswith("and ")):
+            if j < len(t) and CLOSED.match(t, j + 1):
                 plain(start, i - (len(t[start:i]) - len(before)) if before else i)
                 if out and not out[-1][1]:
                     out[-1] = (re.sub(r"(?:[,/&]|\s+and)\s*$", "", out[-1][0]).strip(), False)
@@ -142,45 +143,82 @@ def shape(value: str) -> str:
     return "".join(out)
 
 
-def _lattice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All values a piece may consist of: field_name, piece, i, j, value, shape, words."""
-    for pdf in batches:
-        rows = []
-        for field, piece in zip(pdf["field_name"], pdf["piece"], strict=True):
-            parts, seps = units(piece)
-            for i in range(len(parts)):
-                value = parts[i]
-                for j in range(i + 1, min(len(parts), i + 1 + JOINED) + 1):
-                    if j > i + 1:
-                        value += seps[j - 2] + parts[j - 1]
-                    rows.append((field, piece, i, j, value, shape(value), len(value.split())))
-        yield pd.DataFrame(rows, columns=["field_name", "piece", "i", "j", "value", "shape", "words"])
-
-
-def _viterbi(shapes: dict[str, dict[str, float]], totals: dict[str, float]):
-    """A pandas function: best split of a piece from its lattice with value counts."""
-
-    def best(field: pd.Series, arcs: pd.Series) -> pd.Series:
-        out = []
-        for f, edges in zip(field, arcs, strict=True):
-            n = max(totals.get(f, 0.0), 1.0)
-            known = shapes.get(f, {})
-            end = max(e["j"] for e in edges)
-            score, back = [0.0] + [-math.inf] * end, [None] * (end + 1)
-            for e in sorted(edges, key=lambda e: (e["j"], e["i"])):
-                unseen = FLOOR * INNER ** sum(e["shape"].count(x) for x in ",/+")
-                p = (e["c"] or 0) / n + max(known.get(e["shape"], 0.0) / n, unseen) * WORD ** e["words"]
-                s = score[e["i"]] + math.log(max(p, 1e-300))
-                if s > score[e["j"]]:
-                    score[e["j"]], back[e["j"]] = s, e
-            values, at = [], end
-            while at:
-                values.append(back[at]["value"])
-                at = back[at]["i"]
-            out.append(values[::-1])
-        return pd.Series(out)
-
-    return best
+def _join(parts: list[str], seps: list[str], i: int, j: int) -> str:
+    """Parts i .. j - 1 with the separators between them."""
+    return parts[i] + "".join(seps[k] + parts[k + 1] for k in range(i, j - 1))
+
+
+def _lattice(lengths: list[int]):
+    """Arcs of a piece: field_name, piece, i, j, value, shape, words, given.
+
+    `given` arcs are possible values in any case: spans of up to JOINED
+    separators and the piece as a whole. The others, of one of `lengths` parts, are
+    kept only if the column knows them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for field, piece in zip(pdf["field_name"], pdf["piece"], strict=True):
+                parts, seps = units(piece)
+                n = len(parts)
+                for size in range(1, min(n, JOINED + 1) + 1):
+                    for i in range(n - size + 1):
+                        value = _join(parts, seps, i, i + size)
+                        rows.append((field, piece, i, i + size, value, shape(value), len(value.split()), True))
+                if n > JOINED + 1:
+                    rows.append((field, piece, 0, n, piece, shape(piece), len(piece.split()), True))
+                for size in lengths:
+                    for i in range(n - size + 1 if size < n else 0):
+                        value = _join(parts, seps, i, i + size)
+                        rows.append((field, piece, i, i + size, value, shape(value), len(value.split()), False))
+            yield pd.DataFrame(rows, columns=["field_name", "piece", "i", "j", "value", "shape", "words", "given"])
+
+    return run
+
+
+def _log_p(e, n: float) -> float:
+    """Log-probability of an arc: its value's share, and its shape's times that of its words."""
+    unseen = FLOOR * INNER ** sum(e["shape"].count(x) for x in ",/+")
+    a, b = (e["c"] or 0) / n, math.log(max((e["s"] or 0) / n, unseen, 1e-300)) + e["words"] * math.log(WORD)
+    return max(b, math.log(a)) + math.log1p(math.exp(-abs(b - math.log(a)))) if a > 0 else b
+
+
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
+def expected(edges: list[dict], n: float) -> tuple[float, list[float]]:
+    """Log-likelihood of a piece and the probability of every arc, summed over all its splits."""
+    end = max(e["j"] for e in edges)
+    lp = [_log_p(e, n) for e in edges]
+    order = sorted(range(len(edges)), key=lambda k: (edges[k]["j"], edges[k]["i"]))
+    fore, back = [0.0] + [-math.inf] * end, [-math.inf] * end + [0.0]
+    for k in order:
+        e = edges[k]
+        fore[e["j"]] = _add(fore[e["j"]], fore[e["i"]] + lp[k])
+    for k in sorted(order, key=lambda k: -edges[k]["i"]):
+        e = edges[k]
+        back[e["i"]] = _add(back[e["i"]], back[e["j"]] + lp[k])
+    return fore[end], [math.exp(min(0.0, fore[e["i"]] + lp[k] + back[e["j"]] - fore[end])) for k, e in enumerate(edges)]
+
+
+def likeliest(edges: list[dict], n: float) -> list[str]:
+    """Values of the likeliest split; ties go to the one with the later first boundary."""
+    end = max(e["j"] for e in edges)
+    score, back = [0.0] + [-math.inf] * end, [None] * (end + 1)
+    for e in sorted(edges, key=lambda e: (e["j"], e["i"])):
+        s = score[e["i"]] + _log_p(e, n)
+        if s > score[e["j"]]:
+            score[e["j"]], back[e["j"]] = s, e
+    values, at = [], end
+    while at:
+        values.append(back[at]["value"])
+        at = back[at]["i"]
+    return values[::-1]
 
 
 def _settled(piece: str, atomic: bool) -> dict:
@@ -199,7 +237,7 @@ def _parsed(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(parse, "field_name string, text string, n long, pieces array<struct<piece:string,atomic:boolean>>")
 
 
-def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUNDS) -> DataFrame:
+def split_fields(df: DataFrame, key: str, fields: list[str], settled: float = SETTLED) -> DataFrame:
     """key, field_name, pos (from 1), item for every value packed in `fields` of `df`.
 
     NULL, blank and separator-only fields give no row. Every distinct text is
@@ -210,38 +248,62 @@ def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUND
         F.col(key),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x"),
     ).select(key, "x.*").where(F.regexp_replace("text", TRIM, "") != "")
-    parsed = cut(_parsed(long.groupBy("field_name", "text").agg(F.count("*").alias("n"))))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parsed = cut(_parsed(long.groupBy("field_name", "text").agg(F.count("*").alias("n")).repartition(tasks)))
     exploded = parsed.select("field_name", "n", F.explode("pieces").alias("p"), (F.size("pieces") > 1).alias("beside")).select("field_name", "n", "p.piece", "p.atomic", "beside")
-    atoms = exploded.where("atomic").groupBy("field_name", F.col("piece").alias("value")).agg(F.sum("n").cast("double").alias("c"))
+    to_shape = F.pandas_udf(lambda s: s.map(shape), "string")
+    value = F.col("piece").alias("value")
+    atoms = cut(exploded.where("atomic").groupBy("field_name", value).agg(F.sum("n").cast("double").alias("c")).withColumn("shape", to_shape("value")))
     # To start with, what stands beside hard separators is half believed to have the shape of one value.
-    start = exploded.where("atomic or beside").groupBy("field_name", F.col("piece").alias("value")).agg(
-        F.sum(F.when(F.col("atomic"), F.col("n").cast("double")).otherwise(F.col("n") / 2)).alias("c")
+    start = exploded.where("not atomic and beside").groupBy("field_name", value).agg((F.sum("n") / 2).alias("c")).withColumn("shape", to_shape("value"))
+    open_ = cut(exploded.where("not atomic").groupBy("field_name", "piece").agg(F.sum("n").alias("n")).repartition(tasks))
+    # Values of more parts than JOINED allows that the column shows whole, and the numbers of parts they have.
+    parts = F.pandas_udf(lambda s: s.map(lambda x: len(units(x)[0])), "int")
+    whole = cut(
+        atoms.select("field_name", "value").unionByName(open_.select("field_name", value)).distinct()
+        .withColumn("parts", parts("value")).where(F.col("parts") > JOINED + 1)
     )
-    open_ = exploded.where("not atomic").groupBy("field_name", "piece").agg(F.sum("n").alias("n"))
-    arcs = cut(open_.select("field_name", "piece").mapInPandas(
-        _lattice, "field_name string, piece string, i int, j int, value string, shape string, words int"
-    ))
-    counts, chosen = atoms, None
-    to_shape = F.pandas_udf(lambda s: s.map(shape), "string")
-    for _ in range(max(1, rounds)):
-        seen = (counts if chosen is not None else start).groupBy("field_name", to_shape("value").alias("shape")).agg(F.sum("c").alias("c"))
-        top = seen.orderBy(F.desc("c"), "shape").limit(SHAPES).collect()
-        shapes: dict[str, dict[str, float]] = {}
-        for r in top:
-            shapes.setdefault(r["field_name"], {})[r["shape"]] = float(r["c"])
-        totals = {r["field_name"]: float(r["c"]) for r in counts.groupBy("field_name").agg(F.sum("c").alias("c")).collect()}
-        best = F.pandas_udf(_viterbi(shapes, totals), "array<string>")
-        chosen = (
-            arcs.join(counts, ["field_name", "value"], "left")
-            .groupBy("field_name", "piece")
-            .agg(F.collect_list(F.struct("i", "j", "value", "shape", "words", "c")).alias("arcs"))
-            .select("field_name", "piece", best("field_name", "arcs").alias("values"))
+    lengths = sorted(r[0] for r in whole.select("parts").distinct().collect())  # distinct numbers, at most one a length
+    spans = open_.select("field_name", "piece").mapInPandas(
+        _lattice(lengths), "field_name string, piece string, i int, j int, value string, shape string, words int, given boolean"
+    )
+    arcs = spans.where("given").unionByName(spans.where("not given").join(whole.select("field_name", "value"), ["field_name", "value"], "left_semi"), allowMissingColumns=True) if lengths else spans
+    # What a piece itself brings to a count says nothing of the piece, so `own` is taken off again. At
+    # first this concerns pieces of many parts, which must not be held for values because they stand whole.
+    arcs = cut(arcs.drop("given").withColumn("own", F.when((F.col("i") == 0) & (F.col("j") > JOINED + 1) & (F.col("value") == F.col("piece")), F.lit(math.inf)).otherwise(0.0)))
+
+    def lattices(arcs: DataFrame, counts: DataFrame, shapes: DataFrame) -> DataFrame:
+        """A row a piece with its arcs, the counts of their values (c) and shapes (s), and all counts of the field."""
+        total = counts.groupBy("field_name").agg(F.greatest(F.sum("c"), F.lit(1.0)).alias("total"))  # a row a field
+        own = F.when(F.col("j") - F.col("i") > JOINED + 1, F.col("own")).otherwise(0.0)
+        rest = lambda c: F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)) - own).alias(c)
+        return (
+            arcs.join(counts.select("field_name", "value", "c"), ["field_name", "value"], "left")
+            .join(shapes.select("field_name", "shape", "s"), ["field_name", "shape"], "left")
+            .groupBy("field_name", "piece").agg(F.collect_list(F.struct("i", "j", "value", "shape", "words", rest("c"), rest("s"))).alias("arcs"))
+            .join(F.broadcast(total), "field_name", "left").withColumn("total", F.coalesce("total", F.lit(1.0)))
+        )
+
+    shaped = lambda rows: rows.groupBy("field_name", "shape").agg(F.sum("c").alias("s"))
+    e_step = F.pandas_udf(_each(expected), "struct<z:double,p:array<double>>")
+    counts, shapes, before = atoms, shaped(atoms.select("field_name", "shape", "c").unionByName(start.select("field_name", "shape", "c"))), None
+    while True:
+        fitted = cut(lattices(arcs, counts, shapes).withColumn("fit", e_step("arcs", "total")).join(open_, ["field_name", "piece"]))
+        now = fitted.agg(F.sum(F.col("n") * F.col("fit.z"))).first()[0]
+        arcs = fitted.select("field_name", "piece", "n", F.inline(F.arrays_zip("arcs", F.col("fit.p").alias("p")))).select(
+            "field_name", "piece", *[F.col(f"arcs.{c}").alias(c) for c in ("i", "j", "value", "shape", "words")], (F.col("n") * F.when(F.col("p") >= LIKELY, F.col("p")).otherwise(0.0)).alias("own")
         )
-        chosen = cut(chosen)
-        counts = (
-            chosen.join(open_, ["field_name", "piece"]).select("field_name", F.explode("values").alias("value"), F.col("n").cast("double").alias("c"))
-            .unionByName(atoms).groupBy("field_name", "value").agg(F.sum("c").alias("c"))
+        counts = cut(
+            arcs.select("field_name", "value", "shape", F.col("own").alias("c")).unionByName(atoms.select("field_name", "value", "shape", "c"))
+            .where("c > 0").groupBy("field_name", "value").agg(F.any_value("shape").alias("shape"), F.sum("c").alias("c"))
         )
+        shapes = shaped(counts)
+        # The likelihood is bounded, so gains of this size end.
+        if now is None or before is not None and now - before <= settled * abs(before):
+            break
+        before = now
+    best = F.pandas_udf(_each(likeliest), "array<string>")
+    chosen = lattices(arcs, counts, shapes).select("field_name", "piece", best("arcs", "total").alias("values"))
     items = (
         parsed.select("field_name", "text", F.posexplode("pieces").alias("at", "p")).select("field_name", "text", "at", "p.piece", "p.atomic")
         .join(chosen.withColumn("atomic", F.lit(False)), ["field_name", "piece", "atomic"], "left")
@@ -254,3 +316,15 @@ def split_fields(df: DataFrame, key: str, fields: list[str], rounds: int = ROUND
         .select(key, "field_name", F.posexplode("items").alias("pos", "item"))
         .select(key, "field_name", (F.col("pos") + 1).cast("long").alias("pos"), "item")
     )
+
+
+def _each(work):
+    """A pandas function that does `work` for the arcs of every piece."""
+
+    def run(arcs: pd.Series, totals: pd.Series) -> pd.Series:
+        return pd.Series([work(a, t) for a, t in zip(arcs, totals, strict=True)])
+
+    def rows(arcs: pd.Series, totals: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([work(a, t) for a, t in zip(arcs, totals, strict=True)], columns=["z", "p"])
+
+    return rows if work is expected else run
