@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from granulate.session import cut
+
 # Official wordings of the licence elements by language, letters only, accents folded.
 ELEMENTS = [
     # by, nc, sa, nd
@@ -50,9 +52,7 @@ NAMES = [
     ("accepted", "isaccepted", ""), ("accepted", "akzeptiert", ""), ("accepted", "accepte", ""), ("accepted", "aceptado", ""),
     ("missing", "ismissing", ""), ("missing", "fehlt", ""), ("missing", "manquant", ""),
     ("needs_review", "needreview", ""), ("needs_review", "toreview", ""), ("needs_review", "tobereviewed", ""),
-    ("rejected_for_public_corpus", "rejected", ""), ("rejected_for_public_corpus", "rejectedpubliccorpus", ""),
-    ("rejected_for_public_corpus", "rejectpubliccorpus", ""), ("rejected_for_public_corpus", "isrejected", ""),
-    ("rejected_for_public_corpus", "abgelehnt", ""),
+    ("rejected", "rejected", ""), ("rejected", "isrejected", ""), ("rejected", "abgelehnt", ""),
     ("verified", "verifiedbycurator", ""), ("verified", "isverified", ""), ("verified", "verifiziert", ""),
 ]
 SAYS_NOTHING = ("", "na", "none", "null", "nan")
@@ -91,13 +91,14 @@ def _values(rows: list[tuple], names: str) -> str:
 # k by length of the wording: codes of up to eight letters differ by an edit or two among themselves.
 EDITS = "CASE WHEN length(letters) >= 9 THEN 2 WHEN field_name = 'license_status' AND length(letters) >= 6 THEN 1 ELSE 0 END"
 
+JOINLESS = "regexp_replace(label, '[_ ](?:for|of|the|to)(?=[_ ])', '')"
 ALIASES = f"""
 terms AS (
   SELECT ref_id, field_name, {FOLD.format(x="label")} AS label, {_address("url")} AS url,
          {_figures("regexp_extract(ref_id, '-([0-9.]+)$', 1)")} AS version
   FROM {{terms}}),
 elements AS ({_values(ELEMENTS, "by, nc, sa, nd")}),
-names AS ({_values(NAMES, "ref_id, letters, own")}),
+names AS (SELECT ref_id, letters, own FROM {{names}}),
 cc AS (
   SELECT ref_id, field_name, lower(regexp_extract(ref_id, '^CC-(BY[A-Z-]*)-[0-9]', 1)) AS code, version
   FROM terms WHERE ref_id RLIKE '^CC-BY'),
@@ -117,7 +118,12 @@ spelled AS (
   UNION ALL
   SELECT ref_id, field_name, {_figures("label")}, {_letters("label")}, '' FROM terms
   UNION ALL
-  SELECT t.ref_id, t.field_name, t.version, n.letters, n.own FROM names n JOIN terms t ON n.ref_id = t.ref_id),
+  -- A name belongs to the entry whose id, or the first word of whose id, it is given under.
+  SELECT t.ref_id, t.field_name, t.version, n.letters, n.own FROM names n JOIN terms t ON split(n.ref_id, '_')[0] = split(t.ref_id, '_')[0]
+  UNION ALL
+  -- Labels of several words without the joining ones, and without the ending of the first.
+  SELECT ref_id, field_name, {_figures("label")}, explode(array({_letters(JOINLESS)}, {_letters("regexp_replace(" + JOINLESS + ", '^([a-z]+)ed[_ ]', '$1 ')")})), ''
+  FROM terms WHERE label RLIKE '[_ ](for|of|the|to)[_ ]'),
 aliases AS (
   SELECT DISTINCT ref_id, field_name, letters, f AS figures, {EDITS} AS k
   FROM (SELECT ref_id, field_name, letters, explode(array(version, own,
@@ -125,9 +131,10 @@ aliases AS (
   WHERE letters != '')
 """
 
-MAPPED = f"""
-WITH {ALIASES},
-typed AS (
+ALL_ALIASES = f"WITH {ALIASES} SELECT ref_id, field_name, letters, figures, k FROM aliases"
+
+SAID = f"""
+WITH typed AS (
   SELECT row_no, field_name, url,
          regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace({FOLD.format(x="value")}, '[_\\u2010-\\u2015\\u00a0\\\\s]+', ' '), '[.;, ]+$', '')),
            '^published under the terms of the (.*?)(?: licen[sc]e)?$', '$1'), '{LEAD_IN.replace(chr(92), chr(92) * 2)}', '') AS value
@@ -144,12 +151,16 @@ parsed AS (
 said AS (
   SELECT row_no, field_name, CASE WHEN letters IN {SAYS_NOTHING} AND field_name = 'license' THEN '' ELSE letters END AS letters, figures, url
   FROM parsed
-  WHERE CASE WHEN field_name = 'license' THEN url IS NOT NULL OR letters NOT IN {SAYS_NOTHING} OR figures != '' ELSE value != '' END),
-distinct_letters AS (SELECT DISTINCT field_name, letters FROM said WHERE letters != ''),
+  WHERE CASE WHEN field_name = 'license' THEN url IS NOT NULL OR letters NOT IN {SAYS_NOTHING} OR figures != '' ELSE value != '' END)
+SELECT row_no, field_name, letters, figures, url FROM said
+"""
+
+MAPPED = f"""
+WITH distinct_letters AS (SELECT DISTINCT field_name, letters FROM {{said}} WHERE letters != ''),
 alias_segments AS (
   SELECT DISTINCT field_name, letters, k, length(letters) AS l, i,
          substring(letters, 1 + (i * length(letters)) div (k + 1), ((i + 1) * length(letters)) div (k + 1) - (i * length(letters)) div (k + 1)) AS seg
-  FROM (SELECT DISTINCT field_name, letters, k FROM aliases) LATERAL VIEW explode(sequence(0, k)) AS i),
+  FROM (SELECT DISTINCT field_name, letters, k FROM {{aliases}}) LATERAL VIEW explode(sequence(0, k)) AS i),
 probes AS (
   SELECT DISTINCT field_name, letters, k, l, i,
          substring(letters, 1 + (i * l) div (k + 1) + shift, ((i + 1) * l) div (k + 1) - (i * l) div (k + 1)) AS seg
@@ -165,9 +176,9 @@ near AS (
   WHERE levenshtein(p.letters, a.letters) <= a.k),
 named AS (
   SELECT n.field_name, n.letters, a.ref_id, a.figures, levenshtein(n.letters, n.alias) AS d
-  FROM near n JOIN aliases a ON a.field_name = n.field_name AND a.letters = n.alias),
+  FROM near n JOIN {{aliases}} a ON a.field_name = n.field_name AND a.letters = n.alias),
 groups AS (
-  SELECT field_name, letters, figures, url, count(*) AS n FROM said GROUP BY field_name, letters, figures, url),
+  SELECT field_name, letters, figures, url, count(*) AS n FROM {{said}} GROUP BY field_name, letters, figures, url),
 meant AS (
   SELECT g.field_name, g.letters, g.figures, g.url, n.ref_id, n.d,
          min(n.d) OVER (PARTITION BY g.field_name, g.letters, g.figures, g.url) AS least
@@ -176,7 +187,7 @@ candidates AS (
   SELECT field_name, letters, figures, url, collect_set(ref_id) AS refs FROM meant WHERE d = least
   GROUP BY field_name, letters, figures, url),
 known_names AS (SELECT DISTINCT field_name, letters FROM named),
-by_url AS (SELECT url, min(ref_id) AS ref_id FROM terms WHERE url != '' GROUP BY url HAVING count(*) = 1),
+by_url AS (SELECT url, min(ref_id) AS ref_id FROM (SELECT ref_id, {_address("url")} AS url FROM {{terms}}) WHERE url != '' GROUP BY url HAVING count(*) = 1),
 decided AS (
   SELECT g.field_name, g.letters, g.figures, g.url,
          CASE WHEN size(c.refs) = 1 THEN c.refs[0]
@@ -188,23 +199,29 @@ decided AS (
   LEFT JOIN by_url u ON g.field_name = 'license' AND g.url = u.url),
 matched AS (SELECT * FROM decided WHERE ref_id IS NOT NULL)
 SELECT s.row_no, s.field_name, m.ref_id
-FROM said s JOIN matched m ON s.field_name = m.field_name AND s.letters = m.letters AND s.figures = m.figures AND s.url <=> m.url
+FROM {{said}} s JOIN matched m ON s.field_name = m.field_name AND s.letters = m.letters AND s.figures = m.figures AND s.url <=> m.url
 UNION ALL
 SELECT s.row_no, s.field_name, 'unmatched'
-FROM said s LEFT ANTI JOIN matched m ON s.field_name = m.field_name AND s.letters = m.letters AND s.figures = m.figures AND s.url <=> m.url
+FROM {{said}} s LEFT ANTI JOIN matched m ON s.field_name = m.field_name AND s.letters = m.letters AND s.figures = m.figures AND s.url <=> m.url
 """
 
 
-def found(sources: DataFrame, terms: DataFrame) -> DataFrame:
+def found(sources: DataFrame, terms: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """row_no, field_name, ref_id (or `unmatched`) for every value that says something.
 
-    NULL, blank and placeholder values are no rows. Typed values are compared
+    `names` (ref_id, letters, own) are further names of entries, NAMES unless given. NULL, blank and placeholder
+    values are no rows. Typed values are compared
     once each, however often they occur. A complete name wins over an address; a
     name that leaves the entry open takes it from the address; another version
     of a known name is unmatched whatever the address says. An empty list leaves
     every value unmatched.
     """
-    return sources.sparkSession.sql(MAPPED, sources=sources.select("row_no", "license", "license_url", "license_status"), terms=terms)
+    spark = sources.sparkSession
+    names = spark.createDataFrame(NAMES, "ref_id string, letters string, own string") if names is None else names
+    # Wordings and typed values are read several times below.
+    aliases = cut(spark.sql(ALL_ALIASES, terms=terms, names=names))
+    said = cut(spark.sql(SAID, sources=sources.select("row_no", "license", "license_url", "license_status")))
+    return spark.sql(MAPPED, aliases=aliases, said=said, terms=terms)
 
 
 def unmatched(sources: DataFrame, terms: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ length are taken.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 BUCKETS = 1024  # seeded hash buckets a length is cut into, so no length is sorted in one task
 FIT = 1 << 15  # tokens of the rest that the knapsack fits exactly; more are fitted in units of 1 / FIT of them
 FEW = 15  # documents whose sums (at most FIT) are all tried, whatever their lengths
-LONG = 1 << 13  # characters tokenized at once; longer texts are cut at white space
+LONG = 1 << 13  # characters tokenized at once, and on to the next place where every token ends
+ENDS = re.compile(r"(?<=\S)\s")  # no token of PATTERN goes on from text to white space
 
 
 def source_name(c):
@@ -46,10 +48,8 @@ def token_counts(docs: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:
             total, at = 0, 0
             text = text or ""
             while at < len(text):
-                end = min(len(text), at + LONG)
-                if end < len(text):
-                    blank = text.rfind(" ", at + 1, end)
-                    end = blank if blank > at else end
+                m = ENDS.search(text, at + LONG)
+                end = m.start() if m else len(text)
                 total += len(enc.encode_ordinary(text[at:end].encode("utf-8", "replace").decode("utf-8")))
                 at = end
             return total

@@ -25,6 +25,7 @@ def adr(x):
 
 NOT = "('', 'na', 'none', 'null', 'nan')"
 URL = "regexp_matches(value, '^(https?://)?[a-z0-9-]+([.][a-z0-9-]+)+/')"
+BARE_LABEL = "regexp_replace(label, '[_ ](?:for|of|the|to)([_ ])', '\\1', 'g')"
 P4_FOUND = f"""WITH terms AS (SELECT ref_id, field_name, {ACC.format(x='label')} AS label, {adr('url')} AS url, {fig("regexp_extract(ref_id, '-([0-9.]+)$', 1)")} AS version FROM licence_terms),
 elements AS (SELECT * FROM (VALUES {vals(c.ELEMENTS)}) t("by", nc, sa, nd)),
 names AS (SELECT * FROM (VALUES {vals(c.NAMES)}) t(ref_id, letters, own)),
@@ -33,7 +34,8 @@ worded AS (SELECT ref_id, field_name, version, replace(code, '-', '') AS code, "
 scoped AS (SELECT w.*, s FROM worded w, (VALUES (''), ('international'), ('unported'), ('generic')) z(s)),
 spelled AS (SELECT ref_id, field_name, version, unnest(['cc' || code, 'creativecommons' || code, code, 'creativecommons' || words || s, words || s, 'cc' || words || s, words || s || 'cc' || code, 'creativecommons' || words || s || 'cc' || code, words || s || 'license', 'creativecommons' || words || s || 'license']) AS letters, '' AS own FROM scoped
   UNION ALL SELECT ref_id, field_name, {fig('label')}, {let('label')}, '' FROM terms
-  UNION ALL SELECT t.ref_id, t.field_name, t.version, n.letters, n.own FROM names n JOIN terms t ON n.ref_id = t.ref_id),
+  UNION ALL SELECT t.ref_id, t.field_name, t.version, n.letters, n.own FROM names n JOIN terms t ON string_split(n.ref_id, '_')[1] = string_split(t.ref_id, '_')[1]
+  UNION ALL SELECT ref_id, field_name, {fig('label')}, unnest([{let(BARE_LABEL)}, {let("regexp_replace(" + BARE_LABEL + ", '^([a-z]+)ed[_ ]', '\\1 ')")}]), '' FROM terms WHERE regexp_matches(label, '[_ ](for|of|the|to)[_ ]')),
 aliases AS (SELECT DISTINCT ref_id, field_name, letters, figures, CASE WHEN length(letters) >= 9 THEN 2 WHEN field_name = 'license_status' AND length(letters) >= 6 THEN 1 ELSE 0 END AS k
   FROM (SELECT ref_id, field_name, letters, unnest([version, own, array_to_string(list_sort(list_distinct(list_filter(string_split(version || ',' || own, ','), lambda x: x <> ''))), ',')]) AS figures FROM spelled) WHERE letters <> ''),
 typed AS (SELECT row_no, field_name, url, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace({ACC.format(x='value')}, '[_\\x{{2010}}-\\x{{2015}}\\x{{00a0}}\\s]+', ' ', 'g'), '[.;, ]+$', ''), ' '), '^published under the terms of the (.*?)(?: licen[sc]e)?$', '\\1'), '{c.LEAD_IN}', '') AS value
@@ -99,4 +101,16 @@ P6_FOUND = f"""WITH n AS (SELECT batch_no AS b, record_no AS r, {FIELDS} FROM im
 o AS (SELECT -1 AS b, row_no AS r, {FIELDS} FROM images WHERE lower(trim(curation_status)) = 'accepted' UNION ALL SELECT * FROM n)
 SELECT DISTINCT n.r AS record_no FROM n JOIN o ON (o.b < n.b OR o.b = n.b AND o.r < n.r) AND (n.d = o.d OR n.i = o.i OR n.u = o.u OR bit_count(xor(n.h, o.h)) <= 12)"""
 
-ORACLES = {"p6_found": P6_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+P4_UNMATCHED = f"""WITH f AS ({P4_FOUND}) SELECT f.field_name, CASE WHEN f.field_name = 'license' THEN s.license ELSE s.license_status END AS value,
+  CASE WHEN f.field_name = 'license' THEN s.license_url END AS address, count(*) AS n_rows FROM f JOIN sources s ON f.row_no = s.row_no WHERE f.ref_id = 'unmatched' GROUP BY ALL"""
+P2_COUNTS = f"""WITH f AS ({P2_FOUND}), i AS (SELECT row_no AS k, {SPLIT} AS sp, nullif(lower(trim(source_id)), '') AS source, {digest("file_sha256")} AS d, {picture("ahash")} AS h FROM images),
+t AS (SELECT tile_no AS k, {SPLIT} AS sp, nullif(lower(trim(source_pdf)), '') AS source, {NAME} AS n, TRY_CAST(height AS DOUBLE) AS h, TRY_CAST(width AS DOUBLE) AS w FROM figure_triage),
+u AS (SELECT k, sp, source, h, w, TRY_CAST(regexp_extract({PLACE}, '[ _-]y(\\d+)', 1) AS DOUBLE) AS y, TRY_CAST(regexp_extract({PLACE}, '[ _-]x(\\d+)', 1) AS DOUBLE) AS x FROM t),
+p AS (SELECT 'image' AS kind, CASE WHEN a.sp = 'train' THEN b.k ELSE a.k END AS e, CASE WHEN a.sp = 'train' THEN b.sp ELSE a.sp END AS split, CASE WHEN a.sp = 'train' THEN b.source ELSE a.source END AS source,
+    CASE WHEN a.d = b.d THEN 1.0::DOUBLE ELSE 1 - bit_count(xor(a.h, b.h)) / 256.0::DOUBLE END AS c FROM f JOIN i a ON f.key_a = a.k JOIN i b ON f.key_b = b.k WHERE kind = 'image'
+  UNION ALL SELECT 'tile', CASE WHEN a.sp = 'train' THEN b.k ELSE a.k END, CASE WHEN a.sp = 'train' THEN b.sp ELSE a.sp END, CASE WHEN a.sp = 'train' THEN b.source ELSE a.source END,
+    (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) * (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) / least(a.h * a.w, b.h * b.w) FROM f JOIN u a ON f.key_a = a.k JOIN u b ON f.key_b = b.k WHERE kind = 'tile'),
+r AS (SELECT kind, split, source, e, count(*) AS n, max(c) AS c FROM p GROUP BY ALL)
+SELECT kind, split, source, sum(n) AS pairs, count(*) AS records, round(avg(c), 6) AS mean_coverage FROM r GROUP BY kind, split, source"""
+
+ORACLES = {"p2_counts": P2_COUNTS, "p4_unmatched": P4_UNMATCHED, "p6_found": P6_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}

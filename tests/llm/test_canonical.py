@@ -41,3 +41,12 @@ def test_repeats_and_empty(sources, terms):
     assert canonical.found(sources(), terms()).count() == 0
     assert {r.ref_id for r in canonical.found(sources(*rows), terms([])).collect()} == {"unmatched"}
     assert canonical.unmatched(sources({"row_no": 1, "license": "freeware"}, {"row_no": 2, "license": "freeware"}), terms()).first()["n_rows"] == 2
+
+
+def test_names_are_an_argument(sources, terms, spark):
+    """A reference list of other things, with its own further names."""
+    cities = [("BER", "license", "Berlin", None), ("MUC", "license", "Munich am Isar", None)]
+    names = spark.createDataFrame([("MUC", "muenchen", ""), ("MUC", "monacodibaviera", "")], "ref_id string, letters string, own string")
+    rows = [{"row_no": i, "license": v} for i, v in enumerate(["berlin", "MUENCHEN", "Monaco di Bavera", "Munich am Isr", "Paris", "MIT"])]
+    got = {r.row_no: r.ref_id for r in canonical.found(sources(*rows), terms(cities), names).collect()}
+    assert got == {0: "BER", 1: "MUC", 2: "MUC", 3: "MUC", 4: "unmatched", 5: "unmatched"}

@@ -202,3 +202,17 @@ def test_scores_are_the_tails_against_distinct_prose(docs):
     assert got.keys() == want.keys() and all(abs(got[i].score - want[i]) < 1e-5 for i in want)
     per = sorted(score(p) for p in prose)
     assert all(abs(got[i].tail - sum(x >= want[i] - 1e-6 for x in per) / len(per)) < 1e-9 for i in want)
+
+
+def test_long_texts_are_counted_whole(docs):
+    """Lines without a blank, a list of commas, one word and white space, each beyond what is tokenized at once."""
+    import base64
+
+    import tiktoken
+
+    with open(mixture.RANKS_FILE, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=mixture.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["gold\n" * 6000, "rod,5;" * 5000, "x" * 30000, " \n " * 9000 + "end", ("gold   rods\t\n and so it's on " * 900).strip(), "rods " * 4000 + " " * 9000]
+    got = {r.doc_id: r.tokens for r in mixture.token_counts(docs(*[(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
