@@ -1,80 +1,160 @@
 """Greedy pairing and de-duplication of detections, spread over many tasks.
 
-The outcomes are those of walking each image's detections in order. They are
-found in rounds over an edge table that a grid-cell equi-join makes, so an image
-with any number of detections is never gathered into one task: in each round
-every detection whose choice no earlier undecided one can touch is settled.
+The outcomes are those of walking each image's detections in order. An edge
+table comes from a grid-cell equi-join. The edges of an image stream through one
+task in order, which keeps no more than who is taken; images with more than
+CROWDED edges are settled in rounds instead, so no image is bound to one task:
+in each round every detection whose choice no earlier undecided one can touch is
+settled. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from granulate.functions import geometry as g
 from granulate.session import cut
 
-ROUNDS = 1000
+CROWDED = 2_000_000  # edges of one image from which it is settled in rounds
+KEPT = 2  # rounds whose plans are joined before the lineage is cut
 
 
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], reach: Column, cell: int = 64) -> DataFrame:
     """by, a, b, d: pairs of detections (seq a and b) no further apart than `reach`, a column of `left`.
 
-    Both sides have by, seq, cx, cy. Each left row visits the cells its circle
-    touches, each right row lies in one, so the join is an equi-join.
+    Both sides have by, seq, cx, cy. Cells come in sizes of `cell` times a power of four; a left
+    row uses the smallest one that is not below its reach, so its circle touches at most nine
+    cells, and a right row lies in one cell of each size that its group uses. So the join is an equi-join.
     """
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / cell), F.floor((F.col(c) + F.col("reach")) / cell)))
-    a = left.withColumn("reach", reach).withColumn("gx", span("cx")).withColumn("gy", span("cy"))
-    b = right.select(
-        *by, F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), F.floor(F.col("cx") / cell).alias("gx"), F.floor(F.col("cy") / cell).alias("gy"),
+    a = left.withColumn("reach", reach).withColumn("size", cell * F.pow(4, F.greatest(F.lit(0), F.ceil(F.log(F.col("reach") / cell) / math.log(4) - 1e-9))))
+    a = a.withColumn("size", F.when(F.col("reach") > F.col("size"), F.col("size") * 4).otherwise(F.coalesce("size", F.lit(float(cell)))))
+    sizes = a.select(*by, "size").distinct()
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size"))))
+    a = a.where("reach >= 0").withColumn("gx", span("cx")).withColumn("gy", span("cy"))
+    b = right.join(sizes, by).select(
+        *by, "size", F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), F.floor(F.col("cx") / F.col("size")).alias("gx"), F.floor(F.col("cy") / F.col("size")).alias("gy"),
         *[F.col(c).alias("b_" + c) for c in right.columns if c not in [*by, "seq", "cx", "cy"]],
     )
     d = g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by_"))
-    return a.join(b, [*by, "gx", "gy"]).withColumn("d", d).where("d <= reach").withColumnRenamed("seq", "a").drop("gx", "gy", "cx", "cy", "bx", "by_", "reach")
-
-
-def serial_choice(edges: DataFrame, by: list[str]) -> DataFrame:
-    """by, a, b, d: each a in order takes its nearest b (then the lowest) that no earlier a took.
-
-    Rounds: a settles for its best b left if it is the first undecided one that
-    reaches that b; then a and b leave. The first undecided a of every group
-    always settles, and in practice most do in the first rounds.
-    """
-    left, got = cut(edges.select(*by, "a", "b", "d")), None
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        best = left.groupBy(*by, "a").agg(F.min(F.struct("d", "b")).alias("m")).select(*by, "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
-        first = left.groupBy(*by, "b").agg(F.min("a").alias("a"))
-        won = cut(best.join(first, [*by, "a", "b"]))
+    return a.join(b, [*by, "size", "gx", "gy"]).withColumn("d", d).where("d <= reach").withColumnRenamed("seq", "a").drop("size", "gx", "gy", "cx", "cy", "bx", "by_", "reach")
+
+
+def _crowded(edges: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of ordinary images and, if there are any, those of images with more than `most`."""
+    many = cut(edges.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*by))
+    if many.isEmpty():
+        return edges, None
+    return edges.join(many, by, "left_anti"), edges.join(many, by, "left_semi")
+
+
+def _walk(edges: DataFrame, by: list[str], order: list[str], step) -> DataFrame:
+    """Rows that `step` picks when the edges of each group pass in order; it gets a state (a set per group) and the row's a and b."""
+    key, types = [f"{k}" for k in by], {f.name: f.dataType for f in edges.schema.fields}
+    schema = StructType([StructField(c, types[c]) for c in edges.columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, {}
+        for pdf in batches:
+            groups, keep = list(zip(*[pdf[k] for k in key], strict=True)), []
+            for grp, a, b in zip(groups, pdf["a"], pdf["b"], strict=True):
+                if grp != last:
+                    last, state = grp, {}
+                keep.append(step(state, a, b))
+            yield pdf[np.array(keep, bool)]
+
+    return edges.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def _choose(state: dict, a, b) -> bool:
+    """The edge is taken: a has no partner yet and b is free (edges of a come nearest first)."""
+    if state.get("a") == a and state.get("done") or b in state.setdefault("taken", set()):
+        return False
+    state["a"], state["done"] = a, True
+    state["taken"].add(b)
+    return True
+
+
+def _drop(state: dict, a, b) -> bool:
+    """b is dropped now: it conflicts with a, which is kept (edges come by b)."""
+    gone = state.setdefault("gone", set())
+    if a in gone or b in gone:
+        return False
+    gone.add(b)
+    return True
+
+
+def serial_choice(edges: DataFrame, by: list[str], crowded: int = CROWDED) -> DataFrame:
+    """by, a, b, d: each a in order takes its nearest b (then the lowest) that no earlier a took."""
+    edges = cut(edges.select(*by, "a", "b", "d"))
+    few, many = _crowded(edges, by, crowded)
+    out = _walk(few, by, ["a", "d", "b"], _choose)
+    return out if many is None else out.unionByName(_choice_rounds(many, by))
+
+
+def _choice_rounds(edges: DataFrame, by: list[str]) -> DataFrame:
+    """Rounds: a settles for its best b left if it is the first undecided one that
+    reaches that b; then a and b leave. The first undecided a of every group always settles, so the rounds end."""
+    left, got, held = cut(edges), None, []
+    while not left.isEmpty():
+        won = None
+        for _ in range(KEPT):
+            best = left.groupBy(*by, "a").agg(F.min(F.struct("d", "b")).alias("m")).select(*by, "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+            first = left.groupBy(*by, "b").agg(F.min("a").alias("a"))
+            now = best.join(first, [*by, "a", "b"])
+            left = left.join(now.select(*by, "a"), [*by, "a"], "left_anti").join(now.select(*by, "b"), [*by, "b"], "left_anti")
+            won = now if won is None else won.unionByName(now)
+            if KEPT > 1:
+                left = left.persist(StorageLevel.DISK_ONLY)  # of these rounds only; a lost part is worked out again
+                held.append(left)
+        won, left = cut(won), cut(left)
+        while held:
+            held.pop().unpersist()
         got = won if got is None else got.unionByName(won)
-        left = cut(left.join(won.select(*by, "a"), [*by, "a"], "left_anti").join(won.select(*by, "b"), [*by, "b"], "left_anti"))
-    else:
-        raise RuntimeError("pairing did not settle")
-    return got if got is not None else edges.select(*by, "a", "b", "d").limit(0)
+    return got if got is not None else edges.limit(0)
 
 
-def first_come(nodes: DataFrame, conflicts: DataFrame, by: list[str]) -> DataFrame:
+def first_come(nodes: DataFrame, conflicts: DataFrame, by: list[str], crowded: int = CROWDED) -> DataFrame:
     """Nodes kept when walked in order of seq, one being dropped if it conflicts with a kept earlier one.
 
-    `conflicts` has by, a, b with a < b. Rounds: a node without undecided
-    earlier conflicts is kept and its later conflicts are dropped.
+    `conflicts` has by, a, b with a < b.
     """
-    left, edges, kept = cut(nodes), cut(conflicts.select(*by, "a", "b").distinct()), None
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            break
-        blocked = edges.select(*by, F.col("b").alias("seq")).distinct()
-        free = cut(left.join(blocked, [*by, "seq"], "left_anti"))
-        kept = free if kept is None else kept.unionByName(free)
-        gone = free.select(*by, F.col("seq").alias("a")).join(edges, [*by, "a"]).select(*by, F.col("b").alias("seq")).distinct()
-        settled = cut(free.select(*by, "seq").unionByName(gone))
-        left = cut(left.join(settled, [*by, "seq"], "left_anti"))
-        e = edges.join(settled.withColumnRenamed("seq", "a"), [*by, "a"], "left_anti")
-        edges = cut(e.join(settled.withColumnRenamed("seq", "b"), [*by, "b"], "left_anti"))
-    else:
-        raise RuntimeError("de-duplication did not settle")
-    return kept if kept is not None else nodes.limit(0)
+    edges = cut(conflicts.select(*by, "a", "b").distinct())
+    few, many = _crowded(edges, by, crowded)
+    gone = _walk(few, by, ["b", "a"], _drop).select(*by, F.col("b").alias("seq"))
+    if many is not None:
+        gone = gone.unionByName(_drop_rounds(many, by))
+    return nodes.join(gone, [*by, "seq"], "left_anti")
+
+
+def _drop_rounds(edges: DataFrame, by: list[str]) -> DataFrame:
+    """by, seq of the dropped nodes. Rounds: a node that no undecided earlier one conflicts with is kept, and drops its later ones; the first undecided node always settles."""
+    edges, gone, held = cut(edges), None, []
+    while not edges.isEmpty():
+        now = None
+        for _ in range(KEPT):
+            blocked = edges.select(*by, F.col("b").alias("a")).distinct()
+            free = edges.select(*by, "a").distinct().join(blocked, [*by, "a"], "left_anti")
+            out = edges.join(free, [*by, "a"], "left_semi").select(*by, F.col("b").alias("seq")).distinct()
+            settled = free.withColumnRenamed("a", "seq").unionByName(out)
+            e = edges.join(settled.withColumnRenamed("seq", "a"), [*by, "a"], "left_anti")
+            edges = e.join(out.withColumnRenamed("seq", "b"), [*by, "b"], "left_anti")
+            now = out if now is None else now.unionByName(out)
+            if KEPT > 1:
+                edges = edges.persist(StorageLevel.DISK_ONLY)
+                held.append(edges)
+        now, edges = cut(now), cut(edges)
+        while held:
+            held.pop().unpersist()
+        gone = now if gone is None else gone.unionByName(now)
+    return gone
 
 
 def pair_outer(outer: DataFrame, inner: DataFrame, by: list[str]) -> DataFrame:
@@ -87,11 +167,43 @@ def pair_inner(inner: DataFrame, outer: DataFrame, by: list[str]) -> DataFrame:
     return serial_choice(near_pairs(inner, outer, by, F.greatest(F.col("radius_px") * 1.4, F.lit(12.0))), by)
 
 
-def pair_any(outer: DataFrame, core: DataFrame, by: list[str]) -> DataFrame:
-    """Outlines: each outer in order takes the nearest free core at any distance."""
+def pair_any(outer: DataFrame, core: DataFrame, by: list[str], ring: float = 64.0) -> DataFrame:
+    """Outlines: each outer in order takes the nearest free core at any distance.
+
+    Images of up to CROWDED possible pairs are walked over all of them. In larger
+    ones no table of all pairs is made: rings grow around the outers (by a factor
+    of four), and within a ring the outers whose choice is sure settle; see `_rings`. That takes
+    many rounds where outers compete, but no task ever holds an image.
+    """
+    n = outer.groupBy(*by).agg(F.count("*").alias("n")).join(core.groupBy(*by).agg(F.count("*").alias("m")), by)
+    large = cut(n.where(F.col("n") * F.col("m") > CROWDED).select(*by))
     b = core.select(*by, F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"))
-    e = outer.select(*by, F.col("seq").alias("a"), "cx", "cy").join(b, by)
-    return serial_choice(e.withColumn("d", g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by_"))), by)
+    small = outer if large.isEmpty() else outer.join(large, by, "left_anti")
+    e = small.select(*by, F.col("seq").alias("a"), "cx", "cy").join(b, by)
+    out = _walk(e.select(*by, "a", "b", g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by_")).alias("d")), by, ["a", "d", "b"], _choose)
+    return out if large.isEmpty() else out.unionByName(_rings(outer.join(large, by, "left_semi"), core.join(large, by, "left_semi"), by, ring))
+
+
+def _rings(outer: DataFrame, core: DataFrame, by: list[str], ring: float) -> DataFrame:
+    """Rounds over rings: outers settle in order up to the first one that sees no free core yet or wants one that an earlier one wants."""
+    outer, core, got = cut(outer.select(*by, "seq", "cx", "cy")), cut(core.select(*by, "seq", "cx", "cy")), None
+    while not (outer.isEmpty() or core.isEmpty()):
+        near = cut(near_pairs(outer, core, by, F.lit(ring)).select(*by, "a", "b", "d"))
+        best = near.groupBy(*by, "a").agg(F.min(F.struct("d", "b")).alias("m")).select(*by, "a", F.col("m.b").alias("b"), F.col("m.d").alias("d"))
+        first = near.groupBy(*by, "b").agg(F.min("a").alias("a"))
+        sure = cut(best.join(first, [*by, "a", "b"]))
+        # Whoever fails may still take any core, also one beyond the ring, so only those before the first failure are sure.
+        failed = outer.select(*by, F.col("seq").alias("a")).join(sure.select(*by, "a"), [*by, "a"], "left_anti").groupBy(*by).agg(F.min("a").alias("failed"))
+        won = cut(sure.join(failed, by, "left").where("failed is null or a < failed").drop("failed"))
+        if won.isEmpty():
+            ring *= 4
+            continue
+        got = won if got is None else got.unionByName(won)
+        outer = cut(outer.join(won.select(*by, F.col("a").alias("seq")), [*by, "seq"], "left_anti"))
+        core = core.join(won.select(*by, F.col("b").alias("seq")), [*by, "seq"], "left_anti")
+        alive = core.select(*by).distinct()
+        core, outer = cut(core), cut(outer.join(alive, by, "left_semi"))
+    return got if got is not None else outer.select(*by, F.col("seq").alias("a"), F.col("seq").alias("b"), F.col("cx").alias("d")).limit(0)
 
 
 def match_truth(truth: DataFrame, found: DataFrame, by: list[str], diameter: str) -> DataFrame:

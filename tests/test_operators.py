@@ -49,6 +49,32 @@ def test_deduplicate_is_the_walk(frame):
     assert pairing.deduplicate(frame([], DET), ["image_id"]).count() == 0
 
 
+def test_crowded_images_are_settled_in_rounds_with_the_same_rows(frame, monkeypatch):
+    a, b = _dets(3, 1, 9)[:7], _dets(60, 1, 14)[:6]
+    fa, fb = frame(a, DET), frame(b, DET)
+    rows = lambda df: {(r.image_id, r.a, r.b) for r in df.collect()}
+    near = pairing.near_pairs(fa, fb, ["image_id"], F.lit(90.0))
+    assert rows(pairing.serial_choice(near, ["image_id"], crowded=5)) == rows(pairing.serial_choice(near, ["image_id"])) == _greedy(a, b, lambda r: 90)
+    assert a and b
+    same = pairing.duplicates(fa, ["image_id"], 2.0)
+    assert {tuple(r) for r in pairing.first_come(fa, same, ["image_id"], crowded=5).select("image_id", "seq").collect()} == {tuple(r) for r in pairing.first_come(fa, same, ["image_id"]).select("image_id", "seq").collect()}
+    monkeypatch.setattr(pairing, "CROWDED", 10)
+    small_a, small_b = a[:4], b[:4]
+    assert rows(pairing.pair_any(frame(small_a, DET), frame(small_b, DET), ["image_id"])) == _greedy(small_a, small_b, lambda r: math.inf)
+
+
+def test_one_large_reach_does_not_flood_the_cells(frame):
+    rows = [(1, i, float(i % 100), float(i // 100), 2.0) for i in range(1000)]
+    wide = frame([(1, 0, 50.0, 5.0, 1e7)], DET)
+    assert pairing.near_pairs(wide, frame(rows, DET), ["image_id"], F.col("radius_px")).count() == 1000
+
+
+def test_one_image_of_100000_detections(spark):
+    df = spark.range(100000).selectExpr("1L image_id", "int(id) seq", "double(id % 1000) * 10 cx", "double(id div 1000) * 10 cy", "4.0D radius_px")
+    assert pairing.deduplicate(df, ["image_id"]).count() == 100000
+    assert pairing.pair_outer(df, df, ["image_id"]).where("a = b and d = 0").count() == 100000
+
+
 def test_pairing_of_nothing(frame):
     assert pairing.pair_outer(frame([], DET), frame(_dets(1), DET), ["image_id"]).count() == 0
 
