@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulate.functions.text import filled
+from granulate.operators.ordering import placed
 
 
 def last_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -120,9 +121,9 @@ def capped(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
 
 
 def first_seen_ids(df: DataFrame, name: str, order: str) -> DataFrame:
-    """name, id: ids from 0 in the order of first sight (names are few: a category list)."""
+    """name, id: ids from 0 in the order of first sight."""
     f = df.groupBy(name).agg(F.min(order).alias("seen"))
-    return f.select(name, (F.row_number().over(Window.orderBy("seen", name)) - 1).alias("id"))
+    return placed(f, ["seen", name], "id").select(name, "id")
 
 
 def combine(parts: dict[str, DataFrame], key: str) -> DataFrame:

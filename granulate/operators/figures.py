@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granulate.functions.geometry import clamp01
+from granulate.operators.ordering import placed
 
 
 def runs(df: DataFrame, by: list[str], index: str, flag: str, least: int = 8) -> DataFrame:
-    """Gaps and islands: by, start, end (exclusive) of runs of true of at least `least` places."""
-    hit = df.where(F.col(flag)).withColumn("g", F.col(index) - F.row_number().over(Window.partitionBy(*by).orderBy(index)))
+    """Gaps and islands: by, start, end (exclusive) of runs of true of at least `least` places.
+
+    Places are counted over the whole order, so a group of any size spreads over
+    tasks; inside a run index and place go up together. `index` is unique within a group.
+    """
+    hit = placed(df.where(F.col(flag)).select(*by, index), [*by, index], "_place").withColumn("g", F.col(index) - F.col("_place"))
     return hit.groupBy(*by, "g").agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end")).where(F.col("end") - F.col("start") >= least).drop("g")
 
 

@@ -6,22 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granulate.functions.text import stable_hash
+from granulate.operators.ordering import placed
 
 SPLITS = ("train", "val", "test")
 
 
-def ranked(groups: DataFrame, key: str, parts: int = 256) -> DataFrame:
-    """key, place (from 0) in the order of its SHA-1, and the number of keys, without sorting all keys in one task.
-
-    Keys are cut into `parts` ranges by the leading digits of the hash; places
-    are those in the range plus the keys of the ranges before.
-    """
-    h = groups.select(key).distinct().withColumn("h", stable_hash(F.col(key))).withColumn("part", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * parts / 65536))
-    sizes = h.groupBy("part").agg(F.count("*").alias("n"))
-    w = Window.orderBy("part")  # over at most `parts` rows
-    before = sizes.select("part", (F.sum("n").over(w) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("total"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("h", key)) - 1
-    return h.withColumn("i", place).join(F.broadcast(before), "part").select(key, (F.col("i") + F.col("before")).alias("place"), "total")
+def ranked(groups: DataFrame, key: str) -> DataFrame:
+    """key, place (from 0) in the order of its SHA-1, and the number of keys, without sorting all keys in one task."""
+    h = groups.select(key).distinct().withColumn("h", stable_hash(F.col(key)))
+    return placed(h, ["h", key], total="total").select(key, "place", "total")
 
 
 def split_of(place: Column, total: Column, train: float = 0.70, val: float = 0.15) -> Column:
@@ -45,14 +38,18 @@ def assign(rows: DataFrame, group: str, train: float = 0.70, val: float = 0.15,
 def running_val(rows: DataFrame, group: str, fraction: float = 0.15) -> DataFrame:
     """group, n, val: groups from the smallest (then by name) validate until `fraction` of the rows is reached."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    # Groups are counted by size first; only the size at which the target is reached is ordered by name.
+    # Groups are counted by size first; only those of the size at which the target is reached are ordered by name.
     by_size = sizes.groupBy("n").agg(F.count("*").alias("k"))
-    w = Window.orderBy("n")  # distinct sizes: few
-    at = by_size.select("n", (F.sum(F.col("n") * F.col("k")).over(w) - F.col("n") * F.col("k")).alias("before"), F.sum(F.col("n") * F.col("k")).over(Window.partitionBy(F.lit(1))).alias("total"))
-    target = F.greatest(F.lit(1), F.bround(F.col("total") * fraction, 0))
-    j = sizes.join(F.broadcast(at), "n")
-    earlier = F.col("before") + F.col("n") * (F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1)
-    return j.select(group, "n", ((earlier < target) | (earlier == 0)).alias("val"))
+    w = Window.orderBy("n")  # distinct sizes: few, as k distinct ones need k * k / 2 rows
+    upto, rows_ = F.sum(F.col("n") * F.col("k")).over(w), F.col("n") * F.col("k")
+    at = by_size.select("n", (upto - rows_).alias("before"), upto.alias("upto"), F.sum(rows_).over(Window.partitionBy(F.lit(1))).alias("total"))
+    at = at.withColumn("target", F.greatest(F.lit(1), F.bround(F.col("total") * fraction, 0)))
+    # Groups that share the size at which the target falls; all below validate, none above (but the first of all always does).
+    edge = (F.col("before") < F.col("target")) & (F.col("upto") > F.col("target"))
+    j = sizes.join(at, "n")
+    named = placed(j.where(edge), [group]).where(F.col("before") + F.col("n") * F.col("place") < F.col("target"))
+    whole = j.where("upto <= target").select(group, F.lit(True).alias("val")).unionByName(named.select(group, F.lit(True).alias("val")))
+    return sizes.join(whole, group, "left").select(group, "n", F.coalesce("val", F.lit(False)).alias("val"))
 
 
 def torn_groups(rows: DataFrame, group: str, split: str) -> DataFrame:

@@ -201,6 +201,7 @@ def _blank(c: str) -> str:
     return f"coalesce({c}, '') = ''"
 
 
+LAYER_HINTS = f"CASE WHEN {_any('{x}', t.SYNTHETIC_HINTS)} THEN 'synthetic_core_shell' WHEN {_any('{x}', t.CORE_SHELL_HINTS)} THEN 'real_exact' WHEN {_any('{x}', t.NEAR_HINTS)} THEN 'real_near' ELSE 'unknown' END"
 FIELDS = ["source_id", "file_path", "source_url", "license", "file_sha256", "width", "height", "modality", "quality_status"]
 MISSING = "list_filter([" + ", ".join(f"CASE WHEN {_blank(c)} THEN '{c}' END" for c in FIELDS) + f", CASE WHEN {_blank('caption')} AND {_blank('notes')} THEN 'caption_or_notes' END], lambda x: x IS NOT NULL)"
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granulate.plans import curation, fields, measurement
+from granulate.plans import audits, curation, fields, measurement
 
 FLAGSHIP = "validation_agreement"
-MODULES = [measurement, curation, fields]
+MODULES = [measurement, curation, audits, fields]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
