@@ -38,7 +38,7 @@ def category_map(names: DataFrame) -> DataFrame:
 def measured(annotations: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, seq, class, area, centroid and diameter (nm) of each outline; run lengths and unknown classes are left out."""
     p = g.first_polygon(F.col("segmentation"))
-    a = annotations.withColumn("polygon", p).where("polygon is not null").join(F.broadcast(category_map(annotations.select("category").distinct())), "category").where("class_id is not null")
+    a = annotations.withColumn("polygon", p).where("polygon is not null").join(category_map(annotations.select("category").distinct()), "category").where("class_id is not null")
     j = a.join(images.select(F.col("id").alias("image_id"), F.coalesce(F.col("nm_per_px").try_cast("double"), F.lit(0.0)).alias("nm_per_px")), "image_id")
     area = g.polygon_area(F.col("polygon"))
     c = g.polygon_centroid(F.col("polygon"))
@@ -76,7 +76,7 @@ def _checked(annotations: DataFrame, images: DataFrame) -> DataFrame:
     have = annotations.columns
     status = [F.col(c) for c in ("review_status", "status", "quality_status") if c in have]
     review = t.needs_review(*status, crowd=F.col("iscrowd") if "iscrowd" in have else None)
-    a = annotations.join(F.broadcast(category_map(annotations.select("category").distinct())), "category", "left")
+    a = annotations.join(category_map(annotations.select("category").distinct()), "category", "left")
     j = a.join(images.select(F.col("id").alias("image_id"), "width", "height"), "image_id", "left")
     unit = g.polygon_normalise(g.first_polygon(F.col("segmentation")), F.col("width"), F.col("height"))
     return j.withColumn("unit", unit).withColumn(

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, one: bool = False) -> None:
     """CSV with header, quotes doubled; columns `fields` in their order, missing ones blank."""
     out = df.select(*[(F.col(f) if f in df.columns else F.lit("")).alias(f) for f in fields]) if fields else df
-    (out.coalesce(1) if one else out).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    (out.coalesce(1) if one else out).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def json_value(df: DataFrame):
+    """A row of `df` as JSON with its keys in alphabetical order, as a Column."""
+    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
 
 
 def json_lines(df: DataFrame) -> DataFrame:
     """Each row as JSON with its keys in alphabetical order."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(json_value(df).alias("value"))
 
 
 def write_json(df: DataFrame, path: str) -> None:
