@@ -153,3 +153,32 @@ def error_points(long: DataFrame, keep: list[str]) -> DataFrame:
 def reasons(long: DataFrame, by: list[str]) -> DataFrame:
     """Tally of reasons."""
     return unmatched(long).groupBy(*by, "reason").agg(F.count("*").alias("n_rows"))
+
+
+def undefined(report_: DataFrame) -> DataFrame:
+    """`report_` with `undefined`, a map from each metric that has no value to the reason."""
+    few = F.col("n") == 0
+    why = {
+        "mean_relative_error": "a reference value is not positive", "r_squared_identity": "the reference values do not vary",
+        "pearson_r": "one of the series does not vary", "mae_percent": "the mean reference is zero", "bias_percent": "the mean reference is zero",
+    }
+    entries = [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("k"), F.when(few, "fewer than two pairs").otherwise(r).alias("v"))) for c, r in why.items()]
+    return report_.withColumn("undefined", F.map_from_entries(F.array_compact(F.array(*entries))))
+
+
+def write_report(long: DataFrame, strata: list[str], quantities: list[str], path: str, title: str = "Agreement") -> DataFrame:
+    """The report as files below `path` (metrics as CSV and JSON lines, pairs with their verdict as CSV, a Markdown summary); returns it.
+
+    The summary lists the overall rows only, one a quantity.
+    """
+    from granulate.sources import sinks
+
+    rep = cut(undefined(report(long, strata, quantities)))
+    flat = rep.withColumn("undefined", F.concat_ws("; ", F.transform(F.map_entries("undefined"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))))
+    sinks.write_csv(flat, f"{path}/metrics", one=True)
+    sinks.write_json(rep, f"{path}/report")
+    sinks.write_csv(classified(long), f"{path}/pairs")
+    shown = ["quantity", "n", "mae_percent", "bias_percent", "r_squared_identity", "pearson_r", "recall", "precision"]
+    text = sinks.markdown(rep.where("stratum = 'overall'").orderBy("quantity").collect(), shown, title)
+    long.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+    return rep

@@ -57,8 +57,20 @@ def decorated_summary(carriers: DataFrame, by: list[str], digits: int = 6) -> Da
     )
 
 
-def image_warnings(objects: DataFrame, by: list[str]) -> DataFrame:
-    """Warnings of each image by the shares of edge and unpaired objects."""
+def image_warnings(objects: DataFrame, by: list[str], frames: DataFrame | None = None, contrast: float = 18.0) -> DataFrame:
+    """Warnings of each image by the shares of edge and unpaired objects, and by its frame.
+
+    frames: by, grey_std (spread of the grey values), scale_method. With them images without objects are rows too, low
+    contrast is warned of and so is a scale that nobody gave by hand.
+    """
+    if frames is not None:
+        own = image_warnings(objects, by).withColumnRenamed("warnings", "seen")
+        none = F.array().cast("array<string>")
+        front = F.array_compact(F.array(
+            F.when(F.col("grey_std") < contrast, F.lit("Low contrast")),
+            F.when(~F.coalesce("scale_method", F.lit("")).isin("manual_line", "manual_override"), F.lit("Scale was auto-detected; manual scale is recommended")),
+        ))
+        return frames.join(own, by, "left").select(*by, F.concat(front, F.coalesce("seen", none)).alias("warnings"))
     share = lambda c: F.avg(c.cast("int"))
     edge, alone = share(F.array_contains("flags", "edge")), share(F.col("pair_status") == "partial")
     return objects.groupBy(*by).agg(

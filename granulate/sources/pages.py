@@ -105,3 +105,85 @@ def record(json: Column) -> Column:
 def overlay(old: Column, new: Column) -> Column:
     """The new value unless it is blank."""
     return F.coalesce(t.filled(new), old)
+
+
+ARTICLE = (
+    "struct<title:string,doi:string,published_date:string,description:string,tags:array<string>,authors:array<struct<full_name:string>>,"
+    "license:struct<name:string,url:string>,files:array<struct<name:string,download_url:string>>>"
+)
+RECORD_FILES = "struct<files:array<struct<key:string,links:struct<self:string,download:string>>>>"
+
+
+def article(json: Column) -> Column:
+    """Source fields of an article record (its JSON); NULL if it is not readable."""
+    a = F.from_json(json, ARTICLE)
+    licence = F.concat_ws(" ", t.filled(a["license"]["name"]), t.filled(a["license"]["url"]))
+    names = F.filter(F.transform(a["authors"], lambda x: t.filled(x["full_name"])), lambda n: n.isNotNull())
+    return F.when(a.isNotNull() & (a["title"].isNotNull() | a["doi"].isNotNull()), F.struct(
+        a["title"].alias("title"), a["doi"].alias("doi"), F.substring(a["published_date"], 1, 4).alias("year"), licence.alias("license"), a["license"]["url"].alias("license_url"),
+        F.array_join(names, "; ").alias("authors"), F.array_join(a["tags"], "; ").alias("keywords"), t.licence_status(licence).alias("license_status"),
+        t.modality(F.concat_ws(" ", a["title"], a["description"])).alias("modality"),
+    ))
+
+
+def record_files(json: Column, most: int) -> Column:
+    """array<struct<name, address>>: pictures among the first `most` files of a record of either kind; the cut comes before the choice."""
+    zen = F.transform(F.slice(F.from_json(json, RECORD_FILES)["files"], 1, most), lambda f: F.struct(f["key"].alias("name"), F.coalesce(f["links"]["self"], f["links"]["download"]).alias("address")))
+    fig = F.transform(F.slice(F.from_json(json, ARTICLE)["files"], 1, most), lambda f: F.struct(f["name"].alias("name"), f["download_url"].alias("address")))
+    both = F.concat(F.coalesce(zen, F.array().cast("array<struct<name:string,address:string>>")), F.coalesce(fig, F.array().cast("array<struct<name:string,address:string>>")))
+    typed = lambda n: F.lower(n).rlike(r"\.(?:" + "|".join(s[1:] for s in t.IMAGE_SUFFIXES) + ")$")
+    return F.filter(both, lambda f: (F.coalesce(f["address"], F.lit("")) != "") & typed(F.coalesce(f["name"], F.lit(""))))
+
+
+def validated(fetched: DataFrame) -> DataFrame:
+    """raw, adapter, status, reason, license_status and title of every typed source; a source that fails has its reason and is never lost.
+
+    fetched: raw (as typed), content (what its address gave, NULL if nothing), error (why, else NULL). Records are
+    read by their kind; pages only by their title and licence link, direct pictures have no licence.
+    """
+    url = t.source_address(F.col("raw"))
+    kind = t.source_adapter(url)
+    rec, art = record(F.col("content")), article(F.col("content"))
+    page = F.struct(
+        F.nullif(F.trim(F.regexp_extract("content", r"(?is)<title[^>]*>([^<]*)<", 1)), F.lit("")).alias("title"),
+        F.regexp_extract("content", r"(?i)href=[\"']([^\"']*creativecommons\.org/[^\"']*)", 1).alias("licence"),
+    )
+    fields = (
+        F.when(kind == "zenodo", F.struct(rec["title"].alias("title"), rec["license_status"].alias("license_status")))
+        .when(kind == "figshare", F.struct(art["title"].alias("title"), art["license_status"].alias("license_status")))
+        .when(kind != "direct_image", F.struct(page["title"].alias("title"), t.licence_status(page["licence"]).alias("license_status")))
+    )
+    reason = (
+        F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("content").isNull(), "nothing was fetched")
+        .when((kind == "figshare") & (t.figshare_id(url) == ""), "no article id in the address").when((kind == "zenodo") & (t.zenodo_id(url) == ""), "no record id in the address")
+        .when(kind.isin("zenodo", "figshare") & F.col("f.license_status").isNull(), "the record cannot be read").when(kind == "direct_image", "a picture has no licence of its own")
+        .when(F.col("f.license_status") == "accepted", "public licence found").when(F.col("f.license_status") == "missing", "no public licence found").otherwise("the licence is not public")
+    )
+    return fetched.withColumn("f", fields).select(
+        "raw", kind.alias("adapter"), F.when(F.col("error").isNotNull(), "error").otherwise("done").alias("status"), reason.alias("reason"), F.col("f.license_status").alias("license_status"), F.col("f.title").alias("title"),
+    )
+
+
+SEED = (
+    "local_pdf_sources array<struct<title:string,file:string,doi:string,candidate_layer:string,license:string,license_status:string,training_use:string,notes:string>>, "
+    "related_datasets array<struct<name:string,url:string,doi:string,images:string,license:string,license_status:string,redistribution_caution:boolean,use:string,notes:string>>"
+)
+
+
+def seed_rows(json: DataFrame) -> DataFrame:
+    """dataset, url, doi, license, license_status, exact, use, decision of both lists of seed documents (column `value`, one JSON document a row)."""
+    from granulate.functions.layers import discovery_decision
+
+    doc = json.select(F.from_json("value", f"struct<{SEED}>").alias("d")).select("d.*")
+    p, r = doc.select(F.explode("local_pdf_sources").alias("p")), doc.select(F.explode("related_datasets").alias("r"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    state = F.coalesce("p.license_status", F.lit("needs_review"))
+    careful = F.coalesce("r.redistribution_caution", F.lit(False))
+    return p.select(
+        F.coalesce("p.title", "p.file").alias("dataset"), text("p.file").alias("url"), text("p.doi").alias("doi"), text("p.license").alias("license"), state.alias("license_status"),
+        F.coalesce(F.col("p.candidate_layer") == "real_exact", F.lit(False)).alias("exact"), text("p.training_use").alias("use"), discovery_decision(state, "hold_for_license_review").alias("decision"),
+    ).unionByName(r.select(
+        text("r.name").alias("dataset"), text("r.url").alias("url"), text("r.doi").alias("doi"), text("r.license").alias("license"),
+        F.when(careful, "needs_review").otherwise(F.coalesce("r.license_status", F.lit("needs_review"))).alias("license_status"), F.lit(False).alias("exact"), text("r.use").alias("use"),
+        F.when(careful, "hold_for_license_review").otherwise("inspect").alias("decision"),
+    ))
