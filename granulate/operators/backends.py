@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granulate.operators import raster
 
 # A result names its image and has one score a detection.
-COLUMNS = {"image_id", "seq", "cx", "cy", "area"}
+COLUMNS = {"image_id", "seq", "cx", "cy", "area_px"}
 Backend = Callable[[DataFrame], DataFrame]
 _BACKENDS: dict[str, tuple[Backend, bool, str]] = {}
 

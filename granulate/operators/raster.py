@@ -7,6 +7,7 @@ a pixel or two, not the reference's pixels.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,3 +144,136 @@ def disc_frame(width: int, height: int, discs: list[tuple[float, float, float]],
     for cx, cy, r in discs:
         g[(x - cx) ** 2 + (y - cy) ** 2 <= r * r] = level
     return g
+
+
+def blur(g: np.ndarray, size: int) -> np.ndarray:
+    """Separable Gaussian mean over size x size pixels, the frame's border reflected; the spread follows from the size."""
+    sigma, half = 0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2
+    k = np.exp(-((np.arange(size) - half) ** 2) / (2 * sigma * sigma))
+    k /= k.sum()
+    out = np.asarray(g, float)
+    for axis in (0, 1):
+        pad = [(half, half) if a == axis else (0, 0) for a in (0, 1)]
+        p = np.pad(out, pad, mode="symmetric" if out.shape[axis] <= half else "reflect")
+        out = sum(k[i] * np.take(p, np.arange(i, i + out.shape[axis]), axis) for i in range(size))
+    return out
+
+
+def _spread(m: np.ndarray, half: int, largest: bool) -> np.ndarray:
+    """Largest or smallest value within `half` pixels along both axes; outside the frame nothing counts."""
+    out = m
+    for axis in (0, 1):
+        pad = [(half, half) if a == axis else (0, 0) for a in (0, 1)]
+        p = np.pad(out, pad, constant_values=not largest)
+        parts = [np.take(p, np.arange(i, i + out.shape[axis]), axis) for i in range(2 * half + 1)]
+        out = np.logical_or.reduce(parts) if largest else np.logical_and.reduce(parts)
+    return out
+
+
+def close(m: np.ndarray, size: int, times: int = 1) -> np.ndarray:
+    """Mask with gaps narrower than `size` closed."""
+    half = size // 2 * times
+    return _spread(_spread(m, half, True), half, False)
+
+
+def local_mask(g: np.ndarray, window: int = 35, below: float = 3.0, holes: bool = False) -> np.ndarray:
+    """Carriers of low contrast: darker than the mean of their surroundings by more than `below`, gaps closed; with `holes` only small ones."""
+    smooth = np.rint(blur(g, 7))
+    return close(smooth <= np.rint(blur(smooth, window)) - below, 3 if holes else 9, 2)
+
+
+def bright_bars(g: np.ndarray, level: int = 245) -> list[tuple[int, int, int, int]]:
+    """Boxes x, y, w, h of bright, thin, long marks off the lower edge: where a scale bar may be."""
+    h, w = g.shape
+    least = max(20, int(w * 0.08))
+    boxes = [tuple(d[6:10]) for d in measure(components(g > level))]
+    return [(x, y, bw, bh) for x, y, bw, bh in boxes if bw * bh <= h * w * 0.25 and y < h - 10 and bw >= least and 1 <= bh <= 35 and bw / bh > 6]
+
+
+def scale_bars(images: DataFrame) -> DataFrame:
+    """image_id, seq, x, y, width_px, height_px, confidence of the bright bars of frames; to be ranked by pairing.scale_candidates."""
+    from pyspark.sql import functions as F
+
+    from granulate.functions.geometry import scale_bar_confidence
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, w, h, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"], strict=True):
+                if data is not None and w and h and len(data) == int(w) * int(h):
+                    rows += [(i, n + 1, *b, w, h) for n, b in enumerate(bright_bars(np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w))))]
+            yield pd.DataFrame(rows, columns=["image_id", "seq", "x", "y", "w", "h", "width", "height"])
+
+    r = images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, seq int, x int, y int, w int, h int, width int, height int")
+    c = scale_bar_confidence(*[F.col(k) for k in ("x", "y", "w", "h", "width", "height")])
+    return r.select("image_id", "seq", "x", "y", "w", "h", c.alias("confidence"))
+
+
+def outline_of(m: np.ndarray) -> list[tuple[int, int]]:
+    """Pixels of the outer border of the first component of a mask, clockwise from its first pixel; a neighbour is looked for from the direction of the last step on."""
+    ys, xs = np.nonzero(m)
+    if not len(xs):
+        return []
+    ring = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+    h, w = m.shape
+    at = start = (int(xs[0]), int(ys[0]))
+    heading, first, out = 0, None, [start]
+    while True:
+        for turn in range(8):
+            d = (heading + 6 + turn) % 8
+            x, y = at[0] + ring[d][0], at[1] + ring[d][1]
+            if 0 <= x < w and 0 <= y < h and m[y, x]:
+                break
+        else:
+            return out  # a single pixel
+        if at == start and d == first:
+            return out[:-1]
+        first = d if first is None else first
+        at, heading = (x, y), d
+        out.append(at)
+
+
+def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """Corners of a closed outline: between two kept ones every point lies within `tolerance` of their line."""
+    if len(points) < 4:
+        return points
+    p = np.array(points, float)
+    far = int(((p - p[0]) ** 2).sum(1).argmax())
+    keep, todo = {0, far}, [(0, far), (far, len(p))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        end = p[b % len(p)] - p[a]
+        inner = p[a + 1 : b] - p[a]
+        length = math.hypot(*end)
+        d = np.abs(end[0] * inner[:, 1] - end[1] * inner[:, 0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
+        k = int(d.argmax())
+        if d[k] > tolerance:
+            keep.add(a + 1 + k)
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return [points[i] for i in sorted(keep)]
+
+
+def mask_polygons(images: DataFrame, tolerance: float = 1.0, least: int = 3) -> DataFrame:
+    """image_id, label, polygon [x1, y1, ...] of every component of every non-zero label of instance masks.
+
+    images: image_id, width, height, data (one byte a pixel, its label). Outlines of fewer than `least` corners are left out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, w, h, data in zip(pdf["image_id"], pdf["width"], pdf["height"], pdf["data"], strict=True):
+                if data is None or not w or not h or len(data) != int(w) * int(h):
+                    continue
+                g = np.frombuffer(bytes(data), np.uint8).reshape(int(h), int(w))
+                for label in np.unique(g[g > 0]):
+                    parts = components(g == label)
+                    for n in range(1, parts.max(initial=0) + 1):
+                        corners = simplify(outline_of(parts == n), tolerance)
+                        if len(corners) >= least:
+                            rows.append((i, int(label), [float(v) for c in corners for v in c]))
+            yield pd.DataFrame(rows, columns=["image_id", "label", "polygon"])
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, label int, polygon array<double>")

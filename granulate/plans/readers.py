@@ -78,7 +78,7 @@ def manual_backend(spark, d):
     """Detections as they are, through the registry of back-ends."""
     from granulate.plans.views import det
 
-    v = det(spark, d).select("image_id", "seq", "cx", "cy", (F.col("radius_px") * 2).alias("area"))
+    v = det(spark, d).select("image_id", "seq", "cx", "cy", (F.col("radius_px") * 2).alias("area_px"))
     return backends.predict("manual", v).groupBy("backend", "review_required").agg(F.count("*").alias("n"), F.count("score").alias("scored"))
 
 

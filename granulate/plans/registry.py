@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from granulate.plans import audits, curation, fields, forms, measurement, readers
+from granulate.plans import audits, curation, fields, forms, measurement, phantoms, readers
 
 FLAGSHIP = "validation_agreement"
-MODULES = [measurement, curation, audits, forms, readers, fields]
+MODULES = [measurement, curation, audits, forms, readers, phantoms, fields]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
