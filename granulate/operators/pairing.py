@@ -24,27 +24,36 @@ from granulate.functions import geometry as g
 from granulate.session import cut
 
 CROWDED = 2_000_000  # edges of one image from which it is settled in rounds
+FEW = 64  # right rows of a group up to which it is joined without cells
 KEPT = 2  # rounds whose plans are joined before the lineage is cut
 
 
 def near_pairs(left: DataFrame, right: DataFrame, by: list[str], reach: Column, cell: int = 64) -> DataFrame:
     """by, a, b, d: pairs of detections (seq a and b) no further apart than `reach`, a column of `left`.
 
-    Both sides have by, seq, cx, cy. Cells come in sizes of `cell` times a power of four; a left
+    Both sides have by, seq, cx, cy. Groups of up to FEW right rows are joined as they are: that is no more
+    than FEW pairs a left row. In larger ones cells come in sizes of `cell` times a power of four; a left
     row uses the smallest one that is not below its reach, so its circle touches at most nine
     cells, and a right row lies in one cell of each size that its group uses. So the join is an equi-join.
     """
+    d = g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by_"))
+    near = lambda pairs: pairs.withColumn("d", d).where("d <= reach").withColumnRenamed("seq", "a").drop("size", "gx", "gy", "cx", "cy", "bx", "by_", "reach")
+    more = [F.col(c).alias("b_" + c) for c in right.columns if c not in [*by, "seq", "cx", "cy"]]
+    plain = right.select(*by, F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), *more)
+    large = cut(right.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(*by))
+    if large.isEmpty():
+        return near(left.withColumn("reach", reach).join(plain, by))
+    few = near(left.join(large, by, "left_anti").withColumn("reach", reach).join(plain, by))
+    left, right = left.join(large, by, "left_semi"), right.join(large, by, "left_semi")
     a = left.withColumn("reach", reach).withColumn("size", cell * F.pow(4, F.greatest(F.lit(0), F.ceil(F.log(F.col("reach") / cell) / math.log(4) - 1e-9))))
     a = a.withColumn("size", F.when(F.col("reach") > F.col("size"), F.col("size") * 4).otherwise(F.coalesce("size", F.lit(float(cell)))))
     sizes = a.select(*by, "size").distinct()
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size"))))
     a = a.where("reach >= 0").withColumn("gx", span("cx")).withColumn("gy", span("cy"))
     b = right.join(sizes, by).select(
-        *by, "size", F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), F.floor(F.col("cx") / F.col("size")).alias("gx"), F.floor(F.col("cy") / F.col("size")).alias("gy"),
-        *[F.col(c).alias("b_" + c) for c in right.columns if c not in [*by, "seq", "cx", "cy"]],
+        *by, "size", F.col("seq").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by_"), F.floor(F.col("cx") / F.col("size")).alias("gx"), F.floor(F.col("cy") / F.col("size")).alias("gy"), *more,
     )
-    d = g.distance(F.col("cx"), F.col("cy"), F.col("bx"), F.col("by_"))
-    return a.join(b, [*by, "size", "gx", "gy"]).withColumn("d", d).where("d <= reach").withColumnRenamed("seq", "a").drop("size", "gx", "gy", "cx", "cy", "bx", "by_", "reach")
+    return few.unionByName(near(a.join(b, [*by, "size", "gx", "gy"])))
 
 
 def _crowded(edges: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:

@@ -221,6 +221,7 @@ ORACLES = {
       SELECT file_sha256, count(*) AS n, string_agg(DISTINCT sp, ',' ORDER BY sp) AS splits, count(DISTINCT sp) > 1 AS leak
       FROM x WHERE regexp_matches(file_sha256, '^[0-9a-f]{{64}}$') AND file_sha256 <> repeat(file_sha256[1:1], 64) AND file_sha256 <> '{normalise.EMPTY_SHA256}' GROUP BY file_sha256 HAVING count(*) >= 2""",
     "average_hashes": f"WITH {HASH} SELECT vec_id, label, hash FROM h",
+    "near_duplicate_classes": f"WITH {HASH} SELECT vec_id, min(vec_id) OVER (PARTITION BY hash) AS representative FROM h WHERE length(hash) = 64",
     "near_duplicates": f"WITH {HASH}, r AS (SELECT hash, min(vec_id) AS k FROM h GROUP BY hash) SELECT a.k AS a, b.k AS b, hamming(a.hash, b.hash) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.hash, b.hash) <= 3",
     "rule_classes": f"""WITH s AS (SELECT row_no, lower({TXT}) AS x, lower(concat_ws(' ', {TXT}, coalesce(keywords, ''), coalesce(journal, ''))) AS y, trim({PUBLIC}, ' ') AS lic, lower({PUBLIC}) AS pub, lower(trim(coalesce(license_status, ''), ' ')) AS st FROM sources)
       SELECT row_no, CASE WHEN contains(x, 'haadf') THEN 'HAADF' WHEN contains(x, 'bf-tem') OR contains(x, 'bright-field tem') THEN 'BF-TEM' WHEN contains(x, 'stem') THEN 'STEM'
