@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -12,29 +13,29 @@ from pyspark.sql import functions as F
 
 from granulate.functions import text as t
 
-FIELDS = ["title", "doi", "authors", "journal", "year", "publisher", "license_url", "abstract", "keywords"]
-# Meta names by field, the first that is filled counts.
+FIELDS = ["title", "doi", "authors", "journal", "year", "publisher", "abstract", "keywords"]
+# Meta names by field.
 META = {
-    "title": ("citation_title", "dc.title", "og:title"), "doi": ("citation_doi", "dc.identifier"), "authors": ("citation_author", "dc.creator"),
-    "journal": ("citation_journal_title", "dc.source"), "year": ("citation_publication_date", "citation_date", "dc.date"),
-    "publisher": ("citation_publisher", "dc.publisher"), "license_url": ("dc.rights",), "abstract": ("citation_abstract", "description", "og:description"),
-    "keywords": ("citation_keywords", "keywords"),
+    "title": ("citation_title", "dc.title", "og:title"), "doi": ("citation_doi", "dc.identifier", "dc.identifier.doi"), "authors": ("citation_author", "dc.creator"),
+    "journal": ("citation_journal_title", "dc.source", "prism.publicationname"), "year": ("citation_publication_date", "citation_date", "dc.date", "article:published_time"),
+    "publisher": ("citation_publisher", "dc.publisher"), "abstract": ("citation_abstract", "description", "dc.description"),
+    "keywords": ("citation_keywords", "keywords", "dc.subject"),
 }
+LICENCE = re.compile(r"creativecommons\.org/licenses/[a-z0-9./-]+|CC[-\s]?BY(?:[-\s]NC)?(?:[-\s]ND)?|CC0", re.I)
+HEAD = 5000  # characters of a page in which a licence is looked for if no tag names one, as the rule has it
 
 
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.meta, self.title, self.links, self.images, self.captions, self.open = {}, "", {}, [], [], None
+        self.meta, self.title, self.licence, self.images, self.captions, self.open = [], "", "", [], [], None
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta" and (name := (a.get("name") or a.get("property") or "").lower()) and a.get("content"):
-            self.meta.setdefault(name, []).append(a["content"].strip())
-        elif tag == "link" and a.get("rel"):
-            self.links.setdefault(a["rel"].lower(), a.get("href", ""))
-        elif tag == "a" and a.get("rel", "").lower() == "license":
-            self.links.setdefault("license", a.get("href", ""))
+            self.meta.append((name, a["content"].strip()))
+        elif tag in ("link", "a") and "license" in a.get("rel", "").lower() and a.get("href"):
+            self.licence = a["href"]
         elif tag == "img" and a.get("src"):
             self.images.append((a["src"], a.get("alt", "")))
         elif tag in ("title", "figcaption"):
@@ -66,19 +67,33 @@ def metadata(pages: DataFrame) -> DataFrame:
                 except Exception as e:  # a broken page is a row with a reason, not a failed job
                     row["error"] = str(e)
                 for f in FIELDS:
-                    got = next((p.meta[n] for n in META[f] if p.meta.get(n)), [])
-                    row[f] = "; ".join(got) if f in ("authors", "keywords") else (got[0] if got else "")
+                    got = [c for n, c in p.meta if n in META[f]]
+                    if f == "year":
+                        got = [y.group() for c in got if (y := re.search(r"\d{4}", c))]
+                    # The last tag of a field counts, the first one of the abstract; authors are all of them.
+                    row[f] = "; ".join(got) if f == "authors" else got[0 if f == "abstract" else -1] if got else ""
                 row["title"] = row["title"] or p.title.strip()
-                row["license_url"] = row["license_url"] or p.links.get("license", "")
-                row["year"] = row["year"][:4] if row["year"][:4].isdigit() else ""
+                row |= _licence(p, html or "", row["title"])
                 row["images"] = [{"address": urljoin(url or "", s), "alt": a} for s, a in p.images]
                 row["captions"] = [c.strip() for c in p.captions if c.strip()]
                 out.append(row)
-            yield pd.DataFrame(out, columns=["page_id", *FIELDS, "images", "captions", "error"])
+            yield pd.DataFrame(out, columns=["page_id", *FIELDS, "license", "license_url", "images", "captions", "error"])
 
-    schema = "page_id long, " + ", ".join(f"{f} string" for f in FIELDS) + ", images array<struct<address:string,alt:string>>, captions array<string>, error string"
+    schema = "page_id long, " + ", ".join(f"{f} string" for f in FIELDS) + ", license string, license_url string, images array<struct<address:string,alt:string>>, captions array<string>, error string"
     rows = pages.select("page_id", "url", "html").mapInPandas(run, schema)
-    return rows.withColumn("modality", t.modality(F.concat_ws(" ", "title", "abstract")))
+    return rows.withColumn("modality", t.modality(F.concat_ws(" ", "title", "abstract"))).withColumn("license_status", t.licence_status(F.trim(F.concat_ws(" ", "license", "license_url"))))
+
+
+def _licence(page: _Page, html: str, title: str) -> dict[str, str]:
+    """Licence text and address: of a link, else of a tag that speaks of licence or rights, else of the page's text."""
+    said = [c for n, c in page.meta if "license" in n or "rights" in n]
+    if page.licence:
+        return {"license": page.licence, "license_url": page.licence}
+    if said:
+        return {"license": said[-1], "license_url": next((c for c in reversed(said) if c.startswith("http")), "")}
+    m = LICENCE.search(" ".join([*(c for _, c in page.meta), title, html[:HEAD]]))
+    found = m.group() if m else ""
+    return {"license": found, "license_url": f"https://{found}" if found.lower().startswith("creativecommons") else ""}
 
 
 def figures(meta: DataFrame, most: int) -> DataFrame:

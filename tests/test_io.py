@@ -95,3 +95,16 @@ def test_raster(frame):
     assert raster.overlap(u, u) == (1.0, 1.0) and raster.overlap(u & False, u & False) == (1.0, 1.0)
     assert raster.fill([1, 1, 5, 1, 5, 4, 1, 4], 8, 6).sum() == 12 and len(raster.small_hash(g)) == 64
     assert raster.grey(np.dstack([g, g, g])).tolist() == g.tolist()
+
+
+def test_page_fields_and_licences(frame):
+    head = lambda *m: "<head>" + "".join(f'<meta name="{n}" content="{c}">' for n, c in m) + "</head>"
+    rows = [
+        (1, head(("dc.identifier", "a"), ("dc.identifier.doi", "10.1/b"), ("prism.publicationName", "J"), ("article:published_time", "on 2021-03-04"), ("dc.description", "first"), ("description", "second"))),
+        (2, head(("dc.rights", "CC BY 4.0"), ("dc.rights", "https://creativecommons.org/licenses/by/4.0/"))),
+        (3, "<p>Shared under <b>CC BY-NC</b></p>"), (4, '<a rel="license" href="https://creativecommons.org/licenses/by/4.0/">x</a>'), (5, "<p>none</p>"),
+    ]
+    r = {x.page_id: x for x in pages.metadata(frame([(i, "https://a.example/", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert (r[1].doi, r[1].journal, r[1].year, r[1].abstract) == ("10.1/b", "J", "2021", "first")
+    assert [r[i].license_status for i in (2, 3, 4, 5)] == ["accepted", "rejected", "accepted", "missing"]
+    assert r[2].license_url == r[4].license_url == "https://creativecommons.org/licenses/by/4.0/"
