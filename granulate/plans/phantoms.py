@@ -20,6 +20,8 @@ def _frames(spark, d, kind: str):
     """image_id, width, height, data: a dark disc, a bright bar, or a square label of 1 to 3 per frame."""
     k = F.col("c_custkey")
     p = read(spark, d, "customer").select(k.alias("image_id"), (20 + k % 24).alias("cx"), (20 + k * 7 % 24).alias("cy"), (4 + k % 12).alias("r"))
+    # Few bytes a row become a frame each, and a file of one row group is one task however it is split: so the keys are dealt out.
+    p = p.repartition(max(4 * spark.sparkContext.defaultParallelism, p.rdd.getNumPartitions()), "image_id")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

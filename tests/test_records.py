@@ -2,7 +2,8 @@
 
 import numpy as np
 import pytest
-from granulate.operators import agreement, audits, backends, curation, ordering, raster, records, splits
+from granulate.operators import agreement, audits, backends, curation, ordering, pairing, raster, records, splits
+from granulate.plans import phantoms
 from granulate.sources import pages
 from pyspark.sql import functions as F
 
@@ -123,3 +124,43 @@ def test_unreadable_records_keep_their_row(frame):
     rows = [("https://figshare.com/articles/x/12", "not json", None), ("https://zenodo.org/records/5", '{"metadata": {"title": "T", "license": {"id": "cc-by-4.0"}}}', None), ("https://figshare.com/about", "{}", None), ("x.example/p", None, "refused"), (None, None, None)]
     got = [tuple(r) for r in pages.validated(frame(rows, "raw string, content string, error string")).select("status", "reason").collect()]
     assert got[:4] == [("done", "the record cannot be read"), ("done", "public licence found"), ("done", "no article id in the address"), ("error", "refused")] and len(got) == 5
+
+
+def test_frames_are_read_once_and_dealt_out(spark, frame, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def look(data):
+        read.add(1)
+        return data
+
+    g = np.full((64, 64), 90, np.uint8)
+    g[30:32, 20:45], g[40:41, 5:50] = 255, 255
+    images = frame([(i, 64, 64, g.tobytes()) for i in range(5)] + [(9, 64, 64, None)], "image_id long, width int, height int, data binary")
+    seen = raster.scale_bars(images.withColumn("data", F.udf(look, "binary")("data")))
+    got = pairing.scale_candidates(seen, ["image_id"]).collect()
+    assert {(r.image_id, r.rank, r.x, r.y, r.w, r.h) for r in got} == {(i, *b) for i in range(5) for b in [(1, 20, 30, 25, 2), (2, 5, 40, 45, 1)]}
+    assert read.value == 6
+    spark.range(100).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    sizes = [n for n in phantoms._frames(spark, tmp_path, "bar").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and sum(sizes) == 100 and phantoms.phantom_bars(spark, tmp_path).count() == 91
+
+
+def test_boxes_and_components_by_flooding():
+    rng = np.random.default_rng(5)
+    for share in [0, 0.2, 0.4, 0.6, 1] * 20:
+        m = rng.random(rng.integers(1, 14, 2)) < share
+        labels, want = np.zeros(m.shape, int), []
+        for y, x in np.argwhere(m):
+            if not labels[y, x]:
+                todo, at = [(y, x)], []
+                labels[y, x] = len(want) + 1
+                while todo:
+                    cy, cx = todo.pop()
+                    at.append((cx, cy))
+                    for ny, nx in np.ndindex(*m.shape):
+                        if abs(ny - cy) <= 1 and abs(nx - cx) <= 1 and m[ny, nx] and not labels[ny, nx]:
+                            labels[ny, nx] = labels[y, x]
+                            todo.append((ny, nx))
+                xs, ys = zip(*at)
+                want.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1))
+        assert raster.components(m).tolist() == labels.tolist() and raster.boxes(m) == want
